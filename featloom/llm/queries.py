@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe
+from . import bpe, quality_rules
 from .common import table
 
 #: A parameter: the rank file must lie at this path on every executor.
@@ -15,5 +15,9 @@ def op5_bpe(spark, sf_dir):
     return bpe.encode_documents(table(spark, sf_dir, "documents"), RANKS, keep_ids=False)
 
 
-QUERIES = {"op5_bpe": op5_bpe}
-ORACLES: dict[str, str] = {}
+def op7_quality_rules(spark, sf_dir):
+    return quality_rules.verdicts(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op5_bpe": op5_bpe, "op7_quality_rules": op7_quality_rules}
+ORACLES: dict[str, str] = {"op7_quality_rules": quality_rules.ORACLE}
