@@ -4,13 +4,20 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, quality_rules
+from . import bpe, chat, quality_rules
 from .common import table
 
 #: A parameter: the rank file must lie at this path on every executor.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_chat_formatting(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.range(2).selectExpr("-1L AS conv_id", "id AS turn", "IF(id = 0, 'user', 'assistant') AS role", "'</s>[INST] ok [/INST]' AS text")
+    template = chat.BracketTemplate()
+    return chat.digests(chat.format_turns(rows.unionByName(more), template, context=8), template)
+
+
 def op5_bpe(spark, sf_dir):
     return bpe.encode_documents(table(spark, sf_dir, "documents"), RANKS, keep_ids=False)
 
@@ -19,5 +26,17 @@ def op7_quality_rules(spark, sf_dir):
     return quality_rules.verdicts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op5_bpe": op5_bpe, "op7_quality_rules": op7_quality_rules}
-ORACLES: dict[str, str] = {"op7_quality_rules": quality_rules.ORACLE}
+QUERIES = {"op1_chat_formatting": op1_chat_formatting, "op5_bpe": op5_bpe, "op7_quality_rules": op7_quality_rules}
+OP1_ORACLE = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce("text", '') AS t FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+f AS (SELECT *, regexp_replace(t, '([<\[])(\\*)(/?s>|/?INST\]|LF\])', '\1\\\2\3', 'g') AS e FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || t || chr(10), '' ORDER BY turn, role, t)) AS turns_sha256,
+       coalesce(sum(length(t)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(t, '' ORDER BY turn, t) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length(e) + CASE WHEN role = 'assistant' THEN 7 ELSE 16 + length(role) END)::BIGINT AS formatted_chars, false AS rewrites
+FROM f GROUP BY conv_id
+"""
+
+ORACLES: dict[str, str] = {"op1_chat_formatting": OP1_ORACLE, "op7_quality_rules": quality_rules.ORACLE}
