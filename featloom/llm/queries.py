@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, chat, quality_rules
+from . import bpe, chat, near_dedup, quality_rules
 from .common import table
 
 #: A parameter: the rank file must lie at this path on every executor.
@@ -18,6 +18,10 @@ def op1_chat_formatting(spark, sf_dir):
     return chat.digests(chat.format_turns(rows.unionByName(more), template, context=8), template)
 
 
+def op2_near_dedup(spark, sf_dir):
+    return near_dedup.clusters(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op5_bpe(spark, sf_dir):
     return bpe.encode_documents(table(spark, sf_dir, "documents"), RANKS, keep_ids=False)
 
@@ -26,7 +30,7 @@ def op7_quality_rules(spark, sf_dir):
     return quality_rules.verdicts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_chat_formatting": op1_chat_formatting, "op5_bpe": op5_bpe, "op7_quality_rules": op7_quality_rules}
+QUERIES = {"op1_chat_formatting": op1_chat_formatting, "op2_near_dedup": op2_near_dedup, "op5_bpe": op5_bpe, "op7_quality_rules": op7_quality_rules}
 OP1_ORACLE = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce("text", '') AS t FROM conversations
