@@ -3,8 +3,9 @@
 One pass over the texts gives each document the size and a signature of its shingle set, MinHash band keys, and an odd
 sketch: its MinHash samples folded into a parity bitmap. Documents with equal sets form a class that one document
 represents. Representatives that share a band are compared with the smallest and the largest of the band's bucket;
-buckets that still hold several components after that have their remaining pairs compared. A candidate pair first
-passes its odd sketches (population count of the XOR, which is precise at high similarity), then the full sets.
+buckets that still hold several components after that have their remaining pairs compared inside a task, blocks of a
+large bucket against each other. A candidate pair first passes its odd sketches (population count of the XOR, which is
+precise at high similarity), then the full sets.
 """
 
 from __future__ import annotations
@@ -66,9 +67,15 @@ def estimate(different: Column) -> Column:
     return 1 + F.lit(BITS / (4 * SAMPLES)) * F.log(F.greatest(F.lit(1e-9), 1 - 2 * different / F.lit(float(BITS))))
 
 
-#: Pairs whose estimate is this far below the threshold are dropped without a look at the sets: about ten standard
-#: deviations of the samples at the thresholds used (0.8 and more), so that a link is lost with odds under 1e-12.
-MARGIN = 0.35
+def least_estimate(percent: int) -> float:
+    """Pairs estimated below this are dropped without a look at their sets: 6.5 standard deviations of the samples below
+    the threshold, so that a link is lost with odds under 1e-9."""
+    t = percent / 100
+    return t - 6.5 * (t * (1 - t) / SAMPLES) ** 0.5
+
+
+#: Members of a bucket that meet in one task, at most about twice; larger buckets are compared block against block.
+MEMBERS = 1024
 
 
 def sketch(docs: DataFrame) -> DataFrame:
@@ -117,6 +124,86 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
+def _groups(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[dict[str, list]]:
+    """Rows of one task key, which come one after the other."""
+    current, rows = None, {c: [] for c in columns}
+    for batch in batches:
+        got = {c: batch.column(c).to_pylist() for c in columns}
+        for k, key in enumerate(zip(got["key"], got["i"], got["j"])):
+            if key != current:
+                if rows["key"]:
+                    yield rows
+                current, rows = key, {c: [] for c in columns}
+            for c in columns:
+                rows[c].append(got[c][k])
+    if rows["key"]:
+        yield rows
+
+
+def _candidates(g: dict[str, list], least: float) -> list[tuple[float, int, int]]:
+    """(estimate, x, y) of a group's rows in different components whose first common band is this one and whose
+    sketches are alike."""
+    odd, bands = np.array(g["odd"], np.int64).view(U64), np.array(g["bands"], np.int64)
+    root, block, band = np.array(g["root"]), np.array(g["block"]), g["band"][0]
+    across = g["i"][0] != g["j"][0]
+    most = BITS / 2 * (1 - np.exp((least - 1) * 4 * SAMPLES / BITS))
+    out = []
+    for x in range(len(root) - 1):
+        y = x + 1 + np.flatnonzero(root[x + 1 :] != root[x])
+        if across:
+            y = y[block[y] != block[x]]
+        different = np.bitwise_count(odd[y] ^ odd[x]).sum(axis=1)
+        y, different = y[different <= most], different[different <= most]
+        if band and len(y):
+            first = ~(bands[y, :band] == bands[x, :band]).any(axis=1)
+            y, different = y[first], different[first]
+        out += [(float(d), x, int(z)) for d, z in zip(different, y)]
+    return sorted(out)
+
+
+def rest_links(members: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different components of the same bucket, enough of them to join what is linked.
+
+    members: key, i, j, block, band, doc_id, root, bands, odd; the rows of one (key, i, j) meet in one task, and no
+    pair becomes a row. The sketches say which rows have a candidate at all; only those fetch their texts."""
+    columns = ["key", "i", "j", "block", "band", "doc_id", "root", "bands", "odd"]
+    least = least_estimate(percent)
+    kinds = "key long, i int, j int, block int, band int, doc_id long, root long, bands array<long>, odd array<long>"
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+
+    def with_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _groups(batches, columns):
+            if some := sorted({z for _, x, y in _candidates(g, least) for z in (x, y)}):
+                yield pa.RecordBatch.from_arrays([pa.array([g[c][z] for z in some], t) for c, t in zip(columns, types)], names=columns)
+
+    def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _groups(batches, [*columns, "text"]):
+            sets = [shingle_set(words) for _, words in hashed_words(pa.array(g["text"], pa.string()))]
+            at = {r: r for r in g["root"]}
+
+            def find(r, at=at):
+                while at[r] != r:
+                    at[r] = at[at[r]]
+                    r = at[r]
+                return r
+
+            found = []
+            for _, x, y in _candidates(g, least):
+                a, b = find(g["root"][x]), find(g["root"][y])
+                if a != b:
+                    both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                    if 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
+                        at[max(a, b)] = min(a, b)
+                        found.append((g["doc_id"][x], g["doc_id"][y]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
+
+    task = ["key", "i", "j"]
+    some = cut(members.repartition(*task).sortWithinPartitions(*task).mapInArrow(with_candidates, kinds))
+    texts = documents(docs).join(some.select("doc_id").distinct(), "doc_id", "left_semi")
+    return some.join(texts, "doc_id").select(*columns, "text").repartition(*task).sortWithinPartitions(*task).mapInArrow(confirmed, "a long, b long").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """id, root (smallest id reachable) for every id on an edge (a, b).
 
@@ -151,27 +238,25 @@ def clusters(docs: DataFrame, percent: int = 85) -> DataFrame:
     classes = cut(rows.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sig", "rep"))
     # a class of one is its own representative; of others the smallest doc_id stands for all
     reps = rows.join(classes, "sig", "left").where("rep is null or doc_id = rep").dropDuplicates(["doc_id", "sig"]).select("doc_id", "bands", "odd")
-    buckets = reps.select("doc_id", F.explode("bands").alias("key"))
-    hubs = buckets.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-    shared = cut(buckets.join(hubs, "key").select("key", "doc_id", "lo", "hi"))
+    buckets = reps.select("doc_id", F.posexplode("bands").alias("band", "key"))
+    hubs = buckets.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
+    shared = cut(buckets.join(hubs, "key").select("key", "band", "doc_id", "lo", "hi", "n"))
     odd = reps.select("doc_id", "odd")
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(odd.select(F.col("doc_id").alias("a"), F.col("odd").alias("odd_a")), "a").join(odd.select(F.col("doc_id").alias("b"), F.col("odd").alias("odd_b")), "b")
-        different = F.aggregate(F.zip_with("odd_a", "odd_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-        return both.where(estimate(different) >= percent / 100 - MARGIN).select("a", "b")
-
+    # at first each member of a bucket against the bucket's smallest and largest, so many pairs as memberships at most
     ends = shared.select(F.col("doc_id").alias("a"), F.explode(F.array("lo", "hi")).alias("b")).where("a <> b")
-    first = cut(alike(ends.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()))
-    links = cut(confirm(first, docs, percent))
+    pairs = ends.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    pairs = pairs.join(odd.select(F.col("doc_id").alias("a"), F.col("odd").alias("odd_a")), "a").join(odd.select(F.col("doc_id").alias("b"), F.col("odd").alias("odd_b")), "b")
+    different = F.aggregate(F.zip_with("odd_a", "odd_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    links = cut(confirm(cut(pairs.where(estimate(different) >= least_estimate(percent)).select("a", "b")), docs, percent))
     roots = components(links)
-    # buckets that still hold several components: their members that aren't compared yet, each pair once
-    placed = shared.join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+    # then all that still stand in different components of one bucket
+    placed = shared.join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")
-    rest = cut(placed.join(mixed, "key", "left_semi"))
-    x, y = rest.select("key", F.col("doc_id").alias("a"), F.col("root").alias("ra")), rest.select("key", F.col("doc_id").alias("b"), F.col("root").alias("rb"))
-    second = x.join(y, "key").where("a > b and ra <> rb").select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
-    more = cut(confirm(alike(second), docs, percent))
+    blocks = F.ceil(F.col("n") / MEMBERS).cast("int")
+    rest = placed.join(mixed, "key", "left_semi").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rest = rest.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "band", "doc_id", "root")
+    more = cut(rest_links(rest.join(reps, "doc_id").select("key", "i", "j", "block", "band", "doc_id", "root", "bands", "odd"), docs, percent))
     if not more.isEmpty():
         roots = components(links.union(more))
     out = all_rows.select("doc_id", "n_shingles", "sig").join(classes, "sig", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
