@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, chat, near_dedup, quality_rules
+from . import bpe, chat, decontaminate, near_dedup, quality_rules
 from .common import table
 
 #: A parameter: the rank file must lie at this path on every executor.
@@ -30,7 +30,11 @@ def op7_quality_rules(spark, sf_dir):
     return quality_rules.verdicts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_chat_formatting": op1_chat_formatting, "op2_near_dedup": op2_near_dedup, "op5_bpe": op5_bpe, "op7_quality_rules": op7_quality_rules}
+def op10_decontamination(spark, sf_dir):
+    return decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op1_chat_formatting": op1_chat_formatting, "op2_near_dedup": op2_near_dedup, "op5_bpe": op5_bpe, "op7_quality_rules": op7_quality_rules, "op10_decontamination": op10_decontamination}
 OP1_ORACLE = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce("text", '') AS t FROM conversations
