@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, near_dedup, quality_rules
+from . import bpe, chat, decontaminate, line_dedup, near_dedup, quality_rules
 from .common import table
 
 #: A parameter: the rank file must lie at this path on every executor.
@@ -26,6 +27,13 @@ def op5_bpe(spark, sf_dir):
     return bpe.encode_documents(table(spark, sf_dir, "documents"), RANKS, keep_ids=False)
 
 
+def op6_line_dedup(spark, sf_dir):
+    rest = line_dedup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    deleted = F.coalesce(F.aggregate("spans", F.lit(0), lambda n, s: n + s["last"] - s["first"] + 1), F.lit(0))
+    text = F.coalesce("text", F.lit(""))
+    return rest.select("doc_id", deleted.cast("long").alias("n_deleted_lines"), F.length(text).cast("long").alias("n_chars_left"), F.sha2(text, 256).alias("text_sha256"), "spans")
+
+
 def op7_quality_rules(spark, sf_dir):
     return quality_rules.verdicts(table(spark, sf_dir, "documents"))
 
@@ -34,7 +42,7 @@ def op10_decontamination(spark, sf_dir):
     return decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_chat_formatting": op1_chat_formatting, "op2_near_dedup": op2_near_dedup, "op5_bpe": op5_bpe, "op7_quality_rules": op7_quality_rules, "op10_decontamination": op10_decontamination}
+QUERIES = {"op1_chat_formatting": op1_chat_formatting, "op2_near_dedup": op2_near_dedup, "op5_bpe": op5_bpe, "op6_line_dedup": op6_line_dedup, "op7_quality_rules": op7_quality_rules, "op10_decontamination": op10_decontamination}
 OP1_ORACLE = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce("text", '') AS t FROM conversations
