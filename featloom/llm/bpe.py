@@ -220,31 +220,31 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, keep_ids: bool = True) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids (array of int) and offsets (byte offsets).
+def encode_documents(docs: DataFrame, ranks_path: str, keep_ids: bool = True, keep_offsets: bool = True) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids and offsets (byte offsets), arrays of int.
 
     ranks_path must be readable on every executor (an installed package's file). Null and empty texts have no ids and
     the hashes of the empty string; a null doc_id stays; repeated rows give repeated results; no table is shuffled."""
-    kind = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, offsets array<int>" if keep_ids else "")
+    more = ["ids"] * keep_ids + ["offsets"] * keep_offsets
+    kind = ", ".join(["doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", *(f"{x} array<int>" for x in more)])
+    types = [pa.int64(), pa.string(), pa.string(), *[pa.list_(pa.int32())] * len(more)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks_path)
-        digits = {i: str(i) for i in c.bytes_of}
+        digits = [str(i) for i in range(max(c.bytes_of, default=-1) + 1)]
         for batch in batches:
             for part in range(0, batch.num_rows, 256):
                 b = batch.slice(part, 256)
-                cols: list[list] = [[], [], [], [], []]
+                rows = []
                 for text in b.column("text").to_pylist():
                     ids = c.encode(text)
                     row = [len(ids), hashlib.sha256(" ".join([digits[x] for x in ids]).encode()).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest()]
                     if keep_ids:
-                        row += [ids, (np.cumsum([0, *(len(c.bytes_of[x]) for x in ids)])[:-1]).tolist()]
-                    for col, x in zip(cols, row):
-                        col.append(x)
-                out = [b.column("doc_id"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())]
-                if keep_ids:
-                    out += [pa.array(cols[3], pa.list_(pa.int32())), pa.array(cols[4], pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays(out, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "offsets"][: len(out)])
+                        row.append(np.array(ids, np.int32))
+                    if keep_offsets:
+                        row.append(np.cumsum([0, *(len(c.bytes_of[x]) for x in ids)])[:-1].astype(np.int32))
+                    rows.append(row)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x, t) for x, t in zip(zip(*rows), types))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *more])
 
     return documents(docs).mapInArrow(run, kind)
 

@@ -7,6 +7,7 @@ ablation is bit arithmetic over the ledger and never a second pass over texts. D
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -20,17 +21,18 @@ SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper"]
 
-#: Name and condition of failure over the measurements; the position is the bit. Append only: bits are stored.
-RULES: list[tuple[str, str]] = [
-    ("few_words", "n_words < 50"),
-    ("repeated_words", "100 * n_repeat_words > 50 * n_words"),
-    ("symbols", "100 * n_symbols > 10 * n_words"),
-    ("short_words", "word_chars < 2 * n_words"),
-    ("long_words", "word_chars > 15 * n_words"),
-    ("dup_lines", "100 * n_dup_lines > 30 * n_lines"),
-    ("upper_case", "100 * n_upper > 40 * word_chars"),
+#: Name, condition of failure over the measurements as SQL and as a column; the position is the bit. Append only: bits
+#: are stored.
+RULES: list[tuple[str, str, Callable[[Column], Column]]] = [
+    ("few_words", "n_words < 50", lambda m: m["n_words"] < 50),
+    ("repeated_words", "100 * n_repeat_words > 50 * n_words", lambda m: 100 * m["n_repeat_words"] > 50 * m["n_words"]),
+    ("symbols", "100 * n_symbols > 10 * n_words", lambda m: 100 * m["n_symbols"] > 10 * m["n_words"]),
+    ("short_words", "word_chars < 2 * n_words", lambda m: m["word_chars"] < 2 * m["n_words"]),
+    ("long_words", "word_chars > 15 * n_words", lambda m: m["word_chars"] > 15 * m["n_words"]),
+    ("dup_lines", "100 * n_dup_lines > 30 * n_lines", lambda m: 100 * m["n_dup_lines"] > 30 * m["n_lines"]),
+    ("upper_case", "100 * n_upper > 40 * word_chars", lambda m: 100 * m["n_upper"] > 40 * m["word_chars"]),
 ]
-BIT = {name: 1 << i for i, (name, _) in enumerate(RULES)}
+BIT = {name: 1 << i for i, (name, _, _) in enumerate(RULES)}
 BASE = ("few_words", "repeated_words")
 
 
@@ -66,30 +68,50 @@ def _covered(windows: Column) -> Column:
     return F.aggregate(places, start, add, lambda acc: acc["n"])
 
 
-def measure(docs: DataFrame, *keep: str) -> DataFrame:
-    """doc_id, the columns to keep, and the measurements (long) of the whole text.
+def measurements(text: Column) -> Column:
+    """A struct of the measurements (long) of a whole text, as one expression in which nothing is worked out twice."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
+
+    def of_words(t: Column, ws: Column, ls: Column) -> Column:
+        n = F.size(ws)
+        hashes = F.transform(F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))), lambda i: F.xxhash64(F.get(ws, i), F.get(ws, i + 1), F.get(ws, i + 2)))
+        repeated = _let(hashes, lambda hs: F.when(F.size(F.array_distinct(hs)) < F.size(hs), _covered(hs)).otherwise(F.lit(0)))
+        values = [
+            n,
+            F.length(F.translate(t, " \t\n\x0b\f\r", "")),
+            F.length(t) - F.length(F.translate(t, SYMBOLS, "")),
+            F.size(ls) - F.size(F.array_distinct(ls)),
+            F.when(n < 4, F.lit(0)).otherwise(repeated),
+            F.size(ls),
+            F.length(t) - F.length(F.translate(t, UPPER, "")),
+        ]
+        return F.struct(*(v.cast("long").alias(x) for x, v in zip(MEASURES, values)))
+
+    words = lambda t: F.filter(F.split(t, WHITE), lambda x: x != "")
+    lines = lambda t: F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, " \t\n\x0b\f\r", "")) > 0)
+    return _let(text, lambda t: _let(F.struct(words(t).alias("ws"), lines(t).alias("ls")), lambda p: of_words(t, p["ws"], p["ls"])))
+
+
+def fail_bits(measured: Column) -> Column:
+    """The rules' bits over a struct of measurements."""
+
+    def bits(m: Column) -> Column:
+        return reduce(lambda a, b: a.bitwiseOR(b), [F.when(fails(m), F.lit(BIT[name])).otherwise(F.lit(0)).cast("long") for name, _, fails in RULES])
+
+    return _let(measured, bits)
+
+
+def measure(docs: DataFrame) -> DataFrame:
+    """doc_id and the measurements (long) of the whole text.
 
     Null and empty texts measure 0 everywhere; repeated rows are measured each; a null doc_id stays."""
-    df = documents(docs, *keep).withColumn("ws", F.filter(F.split("text", WHITE), lambda x: x != ""))
-    df = df.withColumn("ls", F.filter(F.split("text", "\n"), lambda x: F.length(F.translate(x, " \t\n\x0b\f\r", "")) > 0))
-    df = df.withColumn("n_words", F.size("ws").cast("long"))
-    df = df.withColumn("hs", F.when(F.col("n_words") < 3, F.array().cast("array<long>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(F.size("ws") - 3, F.lit(0))), lambda i: F.xxhash64(F.get("ws", i), F.get("ws", i + 1), F.get("ws", i + 2)))))
-    solid = F.translate("text", " \t\n\x0b\f\r", "")
-    return df.select(
-        "doc_id", *keep, "n_words",
-        F.length(solid).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (F.size("ls") - F.size(F.array_distinct("ls"))).cast("long").alias("n_dup_lines"),
-        F.when(F.size(F.array_distinct("hs")) < F.size("hs"), _covered(F.col("hs"))).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"),
-        F.size("ls").cast("long").alias("n_lines"),
-        (F.length("text") - F.length(F.translate("text", UPPER, ""))).cast("long").alias("n_upper"),
-    )
-
-
-def ledger(docs: DataFrame, *keep: str) -> DataFrame:
+    return documents(docs).select("doc_id", measurements(F.col("text")).alias("m")).select("doc_id", "m.*")
+
+
+def ledger(docs: DataFrame) -> DataFrame:
     """The measurements and fail_bits (long), bit i set if rule i fails."""
-    bits = reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.expr(rule), F.lit(BIT[name])).otherwise(F.lit(0)).cast("long") for name, rule in RULES])
-    return measure(docs, *keep).withColumn("fail_bits", bits)
+    rows = documents(docs).select("doc_id", measurements(F.col("text")).alias("m"))
+    return rows.select("doc_id", "m.*", fail_bits(F.col("m")).alias("fail_bits"))
 
 
 def failed(policy: Policy) -> Column:
@@ -101,6 +123,12 @@ def verdicts(docs: DataFrame, policy: Policy = POLICIES["default"]) -> DataFrame
     return ledger(docs).withColumn("base_failed", failed(POLICIES["base"])).withColumn("kept", ~(F.col("base_failed") | failed(policy)))
 
 
+def accepted(docs: DataFrame, policy: Policy = POLICIES["default"]) -> DataFrame:
+    """The rows of docs that the policy and the base rules keep, with all their columns. One pass, no shuffle."""
+    wrong = policy.mask | POLICIES["base"].mask
+    return docs.where(fail_bits(measurements(F.col("text"))).bitwiseAND(F.lit(wrong).cast("long")) == 0)
+
+
 def ablations(ledger_rows: DataFrame, policy: Policy = POLICIES["default"]) -> DataFrame:
     """For each rule of the policy: rule, n_failed, n_only (rows that would be kept without it).
 
@@ -139,6 +167,6 @@ m AS (
          len(ls)::BIGINT AS n_lines,
          length(regexp_replace(t, '[^A-Z]', '', 'g'))::BIGINT AS n_upper
   FROM w LEFT JOIN cov USING (doc_id)),
-led AS (SELECT *, (""" + " + ".join(f"CASE WHEN {rule} THEN {BIT[name]} ELSE 0 END" for name, rule in RULES) + r""")::BIGINT AS fail_bits FROM m)
+led AS (SELECT *, (""" + " + ".join(f"CASE WHEN {rule} THEN {BIT[name]} ELSE 0 END" for name, rule, _ in RULES) + r""")::BIGINT AS fail_bits FROM m)
 """
 ORACLE = ORACLE_MEASURES + "SELECT *, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept FROM led"

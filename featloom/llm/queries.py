@@ -24,7 +24,7 @@ def op2_near_dedup(spark, sf_dir):
 
 
 def op5_bpe(spark, sf_dir):
-    return bpe.encode_documents(table(spark, sf_dir, "documents"), RANKS, keep_ids=False)
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), RANKS, keep_ids=False, keep_offsets=False)
 
 
 def op6_line_dedup(spark, sf_dir):
