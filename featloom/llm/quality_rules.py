@@ -29,7 +29,7 @@ RULES: list[tuple[str, str, Callable[[Column], Column]]] = [
     ("symbols", "100 * n_symbols > 10 * n_words", lambda m: 100 * m["n_symbols"] > 10 * m["n_words"]),
     ("short_words", "word_chars < 2 * n_words", lambda m: m["word_chars"] < 2 * m["n_words"]),
     ("long_words", "word_chars > 15 * n_words", lambda m: m["word_chars"] > 15 * m["n_words"]),
-    ("dup_lines", "100 * n_dup_lines > 30 * n_lines", lambda m: 100 * m["n_dup_lines"] > 30 * m["n_lines"]),
+    ("dup_lines", "100 * n_dup_lines > 60 * n_lines", lambda m: 100 * m["n_dup_lines"] > 60 * m["n_lines"]),
     ("upper_case", "100 * n_upper > 40 * word_chars", lambda m: 100 * m["n_upper"] > 40 * m["word_chars"]),
 ]
 BIT = {name: 1 << i for i, (name, _, _) in enumerate(RULES)}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, line_dedup, near_dedup, quality_rules
+from . import bpe, chat, decontaminate, line_dedup, near_dedup, quality_crf, quality_rules
 from .common import table
 
 #: A parameter: the rank file must lie at this path on every executor.
@@ -38,11 +38,16 @@ def op7_quality_rules(spark, sf_dir):
     return quality_rules.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_crf(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality_crf.classify(docs, quality_crf.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_decontamination(spark, sf_dir):
     return decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_chat_formatting": op1_chat_formatting, "op2_near_dedup": op2_near_dedup, "op5_bpe": op5_bpe, "op6_line_dedup": op6_line_dedup, "op7_quality_rules": op7_quality_rules, "op10_decontamination": op10_decontamination}
+QUERIES = {"op1_chat_formatting": op1_chat_formatting, "op2_near_dedup": op2_near_dedup, "op5_bpe": op5_bpe, "op6_line_dedup": op6_line_dedup, "op7_quality_rules": op7_quality_rules, "op8_quality_crf": op8_quality_crf, "op10_decontamination": op10_decontamination}
 OP1_ORACLE = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce("text", '') AS t FROM conversations
