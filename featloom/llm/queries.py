@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, line_dedup, near_dedup, quality_crf, quality_rules
+from . import bpe, chat, decontaminate, line_dedup, lm_score, near_dedup, quality_crf, quality_rules
 from .common import table
 
 #: A parameter: the rank file must lie at this path on every executor.
@@ -23,6 +23,10 @@ def op2_near_dedup(spark, sf_dir):
     return near_dedup.clusters(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op4_lm_score(spark, sf_dir):
+    return lm_score.scores(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe(spark, sf_dir):
     return bpe.encode_documents(table(spark, sf_dir, "documents"), RANKS, keep_ids=False, keep_offsets=False)
 
@@ -47,7 +51,7 @@ def op10_decontamination(spark, sf_dir):
     return decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_chat_formatting": op1_chat_formatting, "op2_near_dedup": op2_near_dedup, "op5_bpe": op5_bpe, "op6_line_dedup": op6_line_dedup, "op7_quality_rules": op7_quality_rules, "op8_quality_crf": op8_quality_crf, "op10_decontamination": op10_decontamination}
+QUERIES = {"op1_chat_formatting": op1_chat_formatting, "op2_near_dedup": op2_near_dedup, "op4_lm_score": op4_lm_score, "op5_bpe": op5_bpe, "op6_line_dedup": op6_line_dedup, "op7_quality_rules": op7_quality_rules, "op8_quality_crf": op8_quality_crf, "op10_decontamination": op10_decontamination}
 OP1_ORACLE = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce("text", '') AS t FROM conversations
@@ -60,4 +64,4 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || t || c
 FROM f GROUP BY conv_id
 """
 
-ORACLES: dict[str, str] = {"op1_chat_formatting": OP1_ORACLE, "op7_quality_rules": quality_rules.ORACLE}
+ORACLES: dict[str, str] = {"op1_chat_formatting": OP1_ORACLE, "op4_lm_score": lm_score.ORACLE, "op7_quality_rules": quality_rules.ORACLE}
