@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, line_dedup, lm_score, near_dedup, quality_crf, quality_rules
+from . import bpe, chat, decontaminate, license_scan, line_dedup, lm_score, near_dedup, quality_crf, quality_rules
 from .common import table
 
 #: A parameter: the rank file must lie at this path on every executor.
@@ -47,11 +47,15 @@ def op8_quality_crf(spark, sf_dir):
     return quality_crf.classify(docs, quality_crf.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_license_scan(spark, sf_dir):
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark, sf_dir):
     return decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_chat_formatting": op1_chat_formatting, "op2_near_dedup": op2_near_dedup, "op4_lm_score": op4_lm_score, "op5_bpe": op5_bpe, "op6_line_dedup": op6_line_dedup, "op7_quality_rules": op7_quality_rules, "op8_quality_crf": op8_quality_crf, "op10_decontamination": op10_decontamination}
+QUERIES = {"op1_chat_formatting": op1_chat_formatting, "op2_near_dedup": op2_near_dedup, "op4_lm_score": op4_lm_score, "op5_bpe": op5_bpe, "op6_line_dedup": op6_line_dedup, "op7_quality_rules": op7_quality_rules, "op8_quality_crf": op8_quality_crf, "op9_license_scan": op9_license_scan, "op10_decontamination": op10_decontamination}
 OP1_ORACLE = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce("text", '') AS t FROM conversations
