@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, license_scan, line_dedup, lm_score, near_dedup, quality_crf, quality_rules
+from . import bpe, chat, decontaminate, html_extract, license_scan, line_dedup, lm_score, near_dedup, quality_crf, quality_rules
 from .common import table
 
 #: A parameter: the rank file must lie at this path on every executor.
@@ -23,6 +23,10 @@ def op2_near_dedup(spark, sf_dir):
     return near_dedup.clusters(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op3_html_extraction(spark, sf_dir):
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_lm_score(spark, sf_dir):
     return lm_score.scores(table(spark, sf_dir, "documents"))
 
@@ -55,7 +59,7 @@ def op10_decontamination(spark, sf_dir):
     return decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_chat_formatting": op1_chat_formatting, "op2_near_dedup": op2_near_dedup, "op4_lm_score": op4_lm_score, "op5_bpe": op5_bpe, "op6_line_dedup": op6_line_dedup, "op7_quality_rules": op7_quality_rules, "op8_quality_crf": op8_quality_crf, "op9_license_scan": op9_license_scan, "op10_decontamination": op10_decontamination}
+QUERIES = {"op1_chat_formatting": op1_chat_formatting, "op2_near_dedup": op2_near_dedup, "op3_html_extraction": op3_html_extraction, "op4_lm_score": op4_lm_score, "op5_bpe": op5_bpe, "op6_line_dedup": op6_line_dedup, "op7_quality_rules": op7_quality_rules, "op8_quality_crf": op8_quality_crf, "op9_license_scan": op9_license_scan, "op10_decontamination": op10_decontamination}
 OP1_ORACLE = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce("text", '') AS t FROM conversations
