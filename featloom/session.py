@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 HOME = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -16,3 +17,13 @@ def reach(spark: SparkSession) -> SparkSession:
     if HOME not in known and HOME not in os.environ.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in [HOME, *known] if x)
     return spark
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The frame without its lineage, kept in spark.checkpoint.dir, which all executors share.
+
+    Only where neither that setting nor a checkpoint folder of the context is set (tests) a folder is made here."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="featloom-"))
+    return df.checkpoint(eager=True)
