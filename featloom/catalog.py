@@ -49,15 +49,15 @@ class Catalog:
 
     def create(self, name: str, description: str = "", int_label: bool = True, dense_weight: bool = True) -> bool:
         """Whether the table is new; an existing one stays as it is."""
-        if self._exists(f"{self.root}/{name}/_meta.json"):
+        if self._exists(f"{self.root}/{name}/meta.json"):
             return False
-        self._put(f"{self.root}/{name}/_meta.json", {"description": description, "int_label": int_label, "dense_weight": dense_weight, "sizes": {}, "rows": 0, "epoch": 0})
+        self._put(f"{self.root}/{name}/meta.json", {"description": description, "int_label": int_label, "dense_weight": dense_weight, "sizes": {}, "rows": 0, "epoch": 0})
         return True
 
     def meta(self, name: str) -> dict:
-        if not self._exists(f"{self.root}/{name}/_meta.json"):
+        if not self._exists(f"{self.root}/{name}/meta.json"):
             raise NotFound(name)
-        return self._get(f"{self.root}/{name}/_meta.json")
+        return self._get(f"{self.root}/{name}/meta.json")
 
     def ingest(self, name: str, paths: str | Sequence[str], format: str = "csv", header: int = 0, num_features: int | None = None, collect_stats: bool = True, rows_per_file: int = 0, **options) -> dict:
         """Read files, number their rows after those that are there, append them, and return the report."""
@@ -68,8 +68,8 @@ class Catalog:
         df = sources.read(self.spark, paths, format, header=header, **options)
         if meta["int_label"]:
             df = df.withColumn("label", F.col("label").cast("int").cast("float"))
-        df.withColumn("datum_id", F.col("datum_id") + F.lit(meta["rows"])).write.mode("append").option("maxRecordsPerFile", rows_per_file).parquet(f"{self.root}/{name}/rows_epoch={meta['epoch']}")
-        table = self.spark.read.parquet(f"{self.root}/{name}/rows_epoch={meta['epoch']}")
+        df.withColumn("datum_id", F.col("datum_id") + F.lit(meta["rows"])).write.mode("append").option("maxRecordsPerFile", rows_per_file).parquet(f"{self.root}/{name}/rows-{meta['epoch']}")
+        table = self.spark.read.parquet(f"{self.root}/{name}/rows-{meta['epoch']}")
         dim = num_features or beside.get("feature_dim")
         known = dict(options.get("families") or {}) if format == "family" else {}
         if format == "family" and not known:
@@ -77,14 +77,14 @@ class Catalog:
         sizes = sources.sizes(table, {n: s for n, s in known.items() if isinstance(s, int)} | ({"default": dim} if dim else {}))
         rows = table.count()
         new = {**meta, "sizes": {k: max(v, meta["sizes"].get(k, 0)) for k, v in sizes.items()}, "rows": rows}
-        self._put(f"{self.root}/{name}/_meta.json", new)
+        self._put(f"{self.root}/{name}/meta.json", new)
         if collect_stats:
-            self.stats(name).write.mode("overwrite").parquet(f"{self.root}/{name}/_stats")
+            self.stats(name).write.mode("overwrite").parquet(f"{self.root}/{name}/stats")
         return {"rows": rows - meta["rows"], "total_rows": rows, "seconds": time.time() - began, "sizes": new["sizes"]}
 
     def get(self, name: str) -> DataFrame:
         meta = self.meta(name)
-        return self.spark.read.parquet(f"{self.root}/{name}/rows_epoch={meta['epoch']}")
+        return self.spark.read.parquet(f"{self.root}/{name}/rows-{meta['epoch']}")
 
     def schema(self, name: str) -> SchemaSpec:
         return SchemaSpec.of(self.get(name), self.meta(name)["sizes"])

@@ -426,13 +426,13 @@ class PipelineModelTransform(Transform):
 
     def plan(self, ctx: Context) -> Plan:
         from pyspark.ml.functions import array_to_vector, vector_to_array
-        from pyspark.sql.types import DoubleType
+        from pyspark.ml.linalg import VectorUDT
 
         w, column = _one_wide(self.inputs, ctx.schema), f"_pipeline_{ctx.number}"
 
         def step(df: DataFrame) -> DataFrame:
             out = self.model.transform(df.withColumn(self.features_col, array_to_vector(fn.dense(w).cast("array<double>"))))
-            scalar = isinstance(out.schema[self.output_col].dataType, DoubleType)
+            scalar = not isinstance(out.schema[self.output_col].dataType, VectorUDT)
             value = F.array(F.col(self.output_col)) if scalar else vector_to_array(F.col(self.output_col))
             return out.withColumn(column, value).select(*df.columns, column)
 
