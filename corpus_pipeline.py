@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from featloom.llm import bpe, decontaminate, line_dedup, near_dedup, quality_rules
 from featloom.llm.common import cut, table
@@ -23,11 +22,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """Texts without the later copies of repeated line runs of 50 words and more; n_chars follows. A document of which
     nothing but white space is left goes, if it had more before."""
     reach(spark)
-    words = lambda c: F.length(F.translate(F.coalesce(c, F.lit("")), " \t\n\x0b\f\r", "")) > 0
-    rest = line_dedup.without_repeats(docs, min_words=50).where(F.col("spans").isNull() | words(F.col("text"))).drop("spans")
-    if "n_chars" in docs.columns:
-        rest = rest.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rest.select(*docs.columns)
+    return line_dedup.cleaned(docs, min_words=50)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

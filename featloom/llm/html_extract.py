@@ -141,8 +141,11 @@ PAGE = 0  # the token that every page has once
 
 
 def _tokens(html: str) -> list[tuple[int, int, bool, int, int, int]]:
-    """(token, count, is_text, token of the tag around it, code points in the slot, depth) of a page's tokens."""
+    """(token, count, is_text, token of the tag around it, code points in the slot, depth) of a page's tokens; none of a
+    page without blocks of text, which says nothing about its host."""
     blocks, paths, outside, _ = parse(html)
+    if not blocks:
+        return []
     sizes = dict.fromkeys(paths, 0)
     total = 0
     for b in blocks:
@@ -180,7 +183,8 @@ def templates(pages: DataFrame, support: int = SUPPORT) -> DataFrame:
             for part in range(0, batch.num_rows, 1000):
                 b = batch.slice(part, 1000)
                 rows = [(host, page, *t) for host, page, html in zip(*(b.column(x).to_pylist() for x in ("host", "page", "html"))) for t in _tokens(html)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[x.split()[0] for x in kinds.split(", ")])
+                cols = list(zip(*rows)) or [()] * len(types)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=[x.split()[0] for x in kinds.split(", ")])
 
     rows = _pages(pages).where("host <> ''").select("host", F.xxhash64("page_id", "url", "html").alias("page"), "html").mapInArrow(run, kinds)
     part = lambda seed: F.sum(F.pmod(F.xxhash64("page", "n", F.lit(seed)), F.lit(1 << 31))).alias(f"v{seed}")

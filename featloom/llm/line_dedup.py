@@ -83,13 +83,28 @@ def repeated_runs(docs: DataFrame, min_words: int = 50) -> DataFrame:
     return spans.groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("spans"))
 
 
+def _joined(docs: DataFrame, min_words: int) -> DataFrame:
+    """row (a struct of docs' columns, whose names thus clash with none), rest (the text left), spans."""
+    found = repeated_runs(docs, min_words).select(F.col("doc_id").alias("found_id"), F.col("h").alias("found_h"), "spans")
+    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
+    same = (F.col("row.doc_id").cast("long") == F.col("found_id")) & (F.xxhash64(text) == F.col("found_h"))
+    rows = docs.select(F.struct("*").alias("row")).join(found.hint("shuffle_hash"), same, "left")
+    left = F.filter(F.split("row.text", "\n"), lambda x, i: ~F.exists("spans", lambda s: (i >= s["first"]) & (i <= s["last"])))
+    return rows.select("row", F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(F.array_join(left, "\n")).alias("rest"), "spans")
+
+
 def without_repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """docs with the column text less its repeated runs, and spans (null where nothing goes; a column of docs by that
     name is replaced); all other columns stay. The texts go through one shuffle. A null text stays null."""
-    docs = docs.drop("spans")
-    found = repeated_runs(docs, min_words)
-    found = found.select(F.col("doc_id").alias("found_id"), F.col("h").alias("found_h"), "spans")
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    joined = docs.join(found.hint("shuffle_hash"), (docs["doc_id"].cast("long") == F.col("found_id")) & (F.xxhash64(text) == F.col("found_h")), "left")
-    rest = F.filter(F.split(text, "\n"), lambda x, i: ~F.exists("spans", lambda s: (i >= s["first"]) & (i <= s["last"])))
-    return joined.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))).drop("found_id", "found_h")
+    columns = [F.col("rest").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c != "spans"]
+    return _joined(docs, min_words).select(*columns, "spans")
+
+
+def cleaned(docs: DataFrame, min_words: int = 50) -> DataFrame:
+    """docs less their repeated runs, with the columns they have; n_chars, if there, follows. A document that loses
+    lines and has nothing but white space left goes."""
+    words = F.length(F.translate("rest", " \t\n\x0b\f\r", "")) > 0
+    kinds = dict(docs.dtypes)
+    new = lambda c: F.col("rest") if c == "text" else F.length("rest").cast(kinds[c])
+    columns = [F.when(F.col("spans").isNull(), F.col("row")[c]).otherwise(new(c)).alias(c) if c in ("text", "n_chars") else F.col("row")[c].alias(c) for c in docs.columns]
+    return _joined(docs, min_words).where(F.col("spans").isNull() | words).select(*columns)
