@@ -9,6 +9,7 @@ then says where pieces begin. The slices go to a cached pair merging; decoding u
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import unicodedata
 from collections.abc import Iterator
@@ -143,20 +144,23 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of a piece: the pair of lowest rank is joined, the leftmost of equals first."""
     if piece in ranks:
         return [ranks[piece]]
-    parts = [piece[i : i + 1] for i in range(len(piece))]
-    if len(parts) > 400:
-        return _merge_long(parts, ranks)
-    none = 1 << 60
-    scores = [ranks.get(a + b, none) for a, b in zip(parts, parts[1:])]
-    while scores and (low := min(scores)) < none:
+    n = len(piece)
+    if n > 400:
+        return _merge_long([piece[i : i + 1] for i in range(n)], ranks)
+    none, get = 1 << 60, ranks.get
+    at = list(range(n + 1))  # where the parts begin, and the end
+    scores = [get(piece[i : i + 2], none) for i in range(n - 1)]
+    while scores:
+        low = min(scores)
+        if low == none:
+            break
         i = scores.index(low)
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        del scores[i]
+        del at[i + 1], scores[i]
         if i:
-            scores[i - 1] = ranks.get(parts[i - 1] + parts[i], none)
+            scores[i - 1] = get(piece[at[i - 1] : at[i + 1]], none)
         if i < len(scores):
-            scores[i] = ranks.get(parts[i] + parts[i + 1], none)
-    return [ranks[x] for x in parts]
+            scores[i] = get(piece[at[i] : at[i + 2]], none)
+    return [ranks[piece[a:b]] for a, b in zip(at, at[1:])]
 
 
 def _merge_long(parts: list[bytes], ranks: dict[bytes, int]) -> list[int]:
@@ -182,28 +186,33 @@ def _merge_long(parts: list[bytes], ranks: dict[bytes, int]) -> list[int]:
 
 
 class Codec:
-    """Encoder and decoder over a rank file; the cache of pieces is emptied when it holds cache_size of them."""
+    """Encoder and decoder over a rank file. Pieces are cached in two generations of cache_size each: when the young one
+    is full it becomes the old one, so pieces that keep coming stay."""
 
-    def __init__(self, path: str, cache_size: int = 200_000):
-        self.ranks, self.cache, self.cache_size = load_ranks(path), {}, cache_size
+    def __init__(self, path: str, cache_size: int = 250_000):
+        self.ranks, self.young, self.old, self.cache_size = load_ranks(path), {}, {}, cache_size
         self.bytes_of = dict(zip(self.ranks.values(), self.ranks.keys()))
 
     def pieces(self, text: str) -> list[str]:
         at = piece_starts(text).tolist()
         return [text[a:b] for a, b in zip(at, [*at[1:], len(text)])]
 
+    def _missing(self, piece: str) -> list[int]:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = merge(piece.encode("utf-8", "surrogatepass"), self.ranks)
+        if len(piece) < 64:
+            if len(self.young) >= self.cache_size:
+                self.old, self.young = self.young, {}
+            self.young[piece] = ids
+        return ids
+
     def encode(self, text: str) -> list[int]:
-        cache, out, ranks = self.cache, [], self.ranks
-        for x in self.pieces(text):
-            ids = cache.get(x)
-            if ids is None:
-                ids = merge(x.encode("utf-8", "surrogatepass"), ranks)
-                if len(x) < 64:
-                    if len(cache) >= self.cache_size:
-                        cache.clear()
-                    cache[x] = ids
-            out.append(ids)
-        return list(chain.from_iterable(out))
+        pieces = self.pieces(text)
+        found = list(map(self.young.get, pieces))
+        if None in found:
+            found = [self._missing(x) if ids is None else ids for x, ids in zip(pieces, found)]
+        return list(chain.from_iterable(found))
 
     def encode_with_offsets(self, text: str) -> tuple[list[int], list[int]]:
         """Ids, and the byte offset in the UTF-8 text at which each begins."""
@@ -230,6 +239,13 @@ def encode_documents(docs: DataFrame, ranks_path: str, keep_ids: bool = True, ke
     types = [pa.int64(), pa.string(), pa.string(), *[pa.list_(pa.int32())] * len(more)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # nothing here makes cycles, and a collection walks through the whole cache
+        try:
+            yield from encoded(batches)
+        finally:
+            gc.enable()
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks_path)
         digits = [str(i) for i in range(max(c.bytes_of, default=-1) + 1)]
         for batch in batches:
