@@ -19,20 +19,35 @@ def _paths(paths: str | Sequence[str]) -> list[str]:
     return [paths] if isinstance(paths, str) else list(paths)
 
 
+def _placed(df: DataFrame) -> DataFrame:
+    """df with _file, _block and _row: the file, the start of the split that read the row, and an order inside it."""
+    return df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")).withColumn("_row", F.monotonically_increasing_id())
+
+
+def _number(placed: DataFrame, header: int = 0) -> DataFrame:
+    """Placed rows with datum_id, consecutive by file and place, less the first header rows of each file.
+
+    Rows aren't moved: one pass counts each split's rows, the driver adds the counts up (a number per split), and a
+    second pass adds a split's start to the row's place in it. Should the second pass be split otherwise than the first
+    (a setting was changed meanwhile), it fails rather than number wrongly."""
+    spark = placed.sparkSession
+    counts = placed.groupBy("_file", "_block").agg(F.min("_row").alias("first"), F.count(F.lit(1)).alias("n")).collect()
+    starts, total = [], 0
+    for r in sorted(counts, key=lambda r: (r["_file"], r["_block"])):
+        skip = min(header, r.n) if r["_block"] == 0 else 0
+        starts.append((r["_file"], r["_block"], r.first, total - skip, skip))
+        total += r.n - skip
+    table = spark.createDataFrame(starts, "_file string, _block long, _first long, _start long, _skip int")
+    rows = placed.join(table, ["_file", "_block"], "left").where(F.col("_first").isNull() | (F.col("_row") - F.col("_first") >= F.col("_skip")))
+    place = F.when(F.col("_first").isNull(), F.raise_error(F.lit("the input was split otherwise while it was numbered")).cast("long")).otherwise(F.col("_start") + F.col("_row") - F.col("_first"))
+    return rows.withColumn("datum_id", place).drop("_file", "_block", "_row", "_first", "_start", "_skip")
+
+
 def read_lines(spark: SparkSession, paths: str | Sequence[str], header: int = 0, recursive: bool = False) -> DataFrame:
-    """value and datum_id: the lines of files and directories, numbered by file and place, the first header lines of
-    each file left out. The numbers don't depend on how the input is split."""
+    """datum_id and value: the lines of files and directories, numbered by file and place, the first header lines of
+    each file left out."""
     lines = spark.read.option("recursiveFileLookup", str(recursive).lower()).text(_paths(paths))
-    lines = lines.select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"))
-    order = ["_file", "_block", "_row"]
-    if header:
-        from pyspark.sql import Window
-
-        # the file's first lines stand in its first block
-        rank = F.row_number().over(Window.partitionBy("_file").orderBy("_block", "_row"))
-        head = lines.where("_block = 0").withColumn("_n", rank).where(F.col("_n") <= header).select(*order)
-        lines = lines.join(head, order, "left_anti")
-    return numbered(lines, *order, name="datum_id").select("datum_id", "value")
+    return _number(_placed(lines), header).select("datum_id", "value")
 
 
 def _entries(items: Column, one_based: bool) -> Column:
@@ -121,8 +136,7 @@ def read_csv(spark: SparkSession, paths: str | Sequence[str], families: dict[str
     """CSV columns as named families (without families all but label and weight are of the default one)."""
     reader = spark.read.option("sep", sep).option("header", str(header > 0).lower())
     df = reader.schema(schema).csv(_paths(paths)) if schema else reader.option("inferSchema", "true").csv(_paths(paths))
-    rows = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")).withColumn("_row", F.monotonically_increasing_id())
-    rows = numbered(rows, "_file", "_block", "_row", name="datum_id").drop("_file", "_block", "_row")
+    rows = _number(_placed(df))
     families = families or {DEFAULT: [c for c in df.columns if c not in (label, weight)]}
     return from_table(rows, families, "datum_id", label, weight)
 
@@ -133,8 +147,7 @@ CRITEO = ", ".join(["label int", *(f"i{k} int" for k in range(1, 14)), *(f"c{k}
 def read_criteo(spark: SparkSession, paths: str | Sequence[str], **_) -> DataFrame:
     """datum_id, label, i1..i13 and c1..c26 of tab-separated rows; an empty cell is null."""
     df = spark.read.schema(CRITEO).option("sep", "\t").csv(_paths(paths))
-    rows = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")).withColumn("_row", F.monotonically_increasing_id())
-    return numbered(rows, "_file", "_block", "_row", name="datum_id").select("datum_id", *df.columns)
+    return _number(_placed(df)).select("datum_id", *df.columns)
 
 
 def read_kdd(spark: SparkSession, paths: str | Sequence[str], **_) -> DataFrame:

@@ -21,6 +21,12 @@ def stream_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.text(path).select(F.xxhash64(F.col("_metadata.file_path"), "value").alias("datum_id"), "value")
 
 
+def stream_socket(spark: SparkSession, host: str, port: int) -> DataFrame:
+    """datum_id (a hash) and value of "dim label id:value ..." lines of a socket, without dim; for sources.parse_libsvm."""
+    lines = spark.readStream.format("socket").option("host", host).option("port", port).load()
+    return lines.select(F.xxhash64("value").alias("datum_id"), F.regexp_replace("value", r"^\s*\S+\s+", "").alias("value"))
+
+
 def transform_stream(stream: DataFrame, like: DataFrame, transforms: Sequence[Transform], output: str = "sparse", sizes: dict[str, int] | None = None) -> DataFrame:
     """The session's projection on a stream. Dictionaries come from the table like; every transform is local to a row,
     so the plan is the same and keeps no state."""
