@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 HOME = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -27,3 +28,13 @@ def cut(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="featloom-"))
     return df.checkpoint(eager=True)
+
+
+#: Rows up to which a side of a join is sent to every executor whole.
+SMALL_ROWS = 100_000
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """A frame of narrow rows, marked for broadcast if a count shows at most SMALL_ROWS of them; a larger one stays as it
+    is, and the join shuffles. Count frames that are cut or read from a table, not ones that are dear to work out."""
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
