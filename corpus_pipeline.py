@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from featloom.llm import bpe, decontaminate, line_dedup, near_dedup, quality_rules
-from featloom.llm.common import cut, table
+from featloom.llm.common import table
 from featloom.llm.queries import RANKS
-from featloom.session import reach
+from featloom.session import cut, reach
 
 #: SQL can't express the stages; tests hold them against brute force.
 ORACLE_SQL = None

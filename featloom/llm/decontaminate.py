@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut, small_side
 from .common import U64, documents, passes, windows, word_hashes, word_spans
 
 #: Bytes that make up a word here: ASCII letters and digits, and all of a code point beyond ASCII.
@@ -218,5 +219,5 @@ def hits(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap:
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of docs in which no item is found; all columns stay. A null doc_id stays."""
-    bad = hits(docs, benchmark, **options).select(F.col("doc_id").alias("bad_id")).distinct()
+    bad = small_side(cut(hits(docs, benchmark, **options).select(F.col("doc_id").alias("bad_id")).distinct()))
     return docs.join(bad, docs["doc_id"].cast("long") == bad["bad_id"], "left_anti")

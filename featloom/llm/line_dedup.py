@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, documents, passes, word_hashes, word_spans
+from ..session import cut, small_side
+from .common import documents, passes, word_hashes, word_spans
 
 _BREAK = np.ones(256, bool)
 _BREAK[10] = False
@@ -85,17 +86,18 @@ def repeated_runs(docs: DataFrame, min_words: int = 50) -> DataFrame:
 
 def _joined(docs: DataFrame, min_words: int) -> DataFrame:
     """row (a struct of docs' columns, whose names thus clash with none), rest (the text left), spans."""
-    found = repeated_runs(docs, min_words).select(F.col("doc_id").alias("found_id"), F.col("h").alias("found_h"), "spans")
+    found = small_side(cut(repeated_runs(docs, min_words).select(F.col("doc_id").alias("found_id"), F.col("h").alias("found_h"), "spans")))
     text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
     same = (F.col("row.doc_id").cast("long") == F.col("found_id")) & (F.xxhash64(text) == F.col("found_h"))
-    rows = docs.select(F.struct("*").alias("row")).join(found.hint("shuffle_hash"), same, "left")
+    rows = docs.select(F.struct("*").alias("row")).join(found, same, "left")
     left = F.filter(F.split("row.text", "\n"), lambda x, i: ~F.exists("spans", lambda s: (i >= s["first"]) & (i <= s["last"])))
     return rows.select("row", F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(F.array_join(left, "\n")).alias("rest"), "spans")
 
 
 def without_repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """docs with the column text less its repeated runs, and spans (null where nothing goes; a column of docs by that
-    name is replaced); all other columns stay. The texts go through one shuffle. A null text stays null."""
+    name is replaced); all other columns stay. A null text stays null. The texts are shuffled once, or not at all if few
+    documents lose lines."""
     columns = [F.col("rest").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c != "spans"]
     return _joined(docs, min_words).select(*columns, "spans")
 

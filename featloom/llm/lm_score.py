@@ -22,7 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, cut, documents, hashed_words, windows
+from ..session import cut
+from .common import U64, documents, hashed_words, windows
 
 ORDER = 3
 BACKOFF = 0.4

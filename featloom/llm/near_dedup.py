@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, cut, documents, hashed_words, mix, windows
+from ..session import cut, small_side
+from .common import U64, documents, hashed_words, mix, windows
 
 WORDS = 5
 BANDS, ROWS = 32, 4
@@ -217,9 +218,9 @@ def components(edges: DataFrame) -> DataFrame:
         both = left.union(left.select("b", "a"))
         rank = (lambda c: c) if turn % 2 == 0 else (lambda c: F.xxhash64(c, F.lit(turn)))
         near = both.groupBy(F.col("a").alias("at")).agg(F.min(F.struct(rank(F.col("b")).alias("r"), F.col("b").alias("to"))).alias("m"))
-        to = cut(near.select("at", F.when(F.struct(rank(F.col("at")).alias("r"), F.col("at").alias("to")) < F.col("m"), F.col("at")).otherwise(F.col("m.to")).alias("to")))
+        to = small_side(cut(near.select("at", F.when(F.struct(rank(F.col("at")).alias("r"), F.col("at").alias("to")) < F.col("m"), F.col("at")).otherwise(F.col("m.to")).alias("to"))))
         where = where.join(to, "at", "left").select("id", F.coalesce("to", "at").alias("at"))
-        left = left.join(to.select(F.col("at").alias("a"), F.col("to").alias("x")), "a").join(to.select(F.col("at").alias("b"), F.col("to").alias("y")), "b")
+        left = left.join(to.withColumnsRenamed({"at": "a", "to": "x"}), "a").join(to.withColumnsRenamed({"at": "b", "to": "y"}), "b")
         left = cut(left.select(F.col("x").alias("a"), F.col("y").alias("b")).where("a <> b").distinct())
         turn += 1
     smallest = where.groupBy("at").agg(F.min("id").alias("root"))
@@ -250,7 +251,7 @@ def clusters(docs: DataFrame, percent: int = 85) -> DataFrame:
     links = cut(confirm(cut(pairs.where(estimate(different) >= least_estimate(percent)).select("a", "b")), docs, percent))
     roots = components(links)
     # then all that still stand in different components of one bucket
-    placed = shared.join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    placed = shared.join(small_side(roots).withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")
     blocks = F.ceil(F.col("n") / MEMBERS).cast("int")
     rest = placed.join(mixed, "key", "left_semi").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
@@ -259,12 +260,12 @@ def clusters(docs: DataFrame, percent: int = 85) -> DataFrame:
     more = cut(rest_links(rest.join(reps, "doc_id").select("key", "i", "j", "block", "band", "doc_id", "root", "bands", "odd"), docs, percent))
     if not more.isEmpty():
         roots = components(links.union(more))
-    out = all_rows.select("doc_id", "n_shingles", "sig").join(classes, "sig", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
-    out = out.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
+    out = all_rows.select("doc_id", "n_shingles", "sig").join(small_side(classes), "sig", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
+    out = out.join(small_side(roots).withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def deduplicated(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The rows of docs without those whose doc_id isn't its component's smallest; all columns stay."""
-    gone = clusters(docs, percent).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
+    gone = small_side(cut(clusters(docs, percent).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()))
     return docs.join(gone, docs["doc_id"].cast("long") == gone["gone_id"], "left_anti")
