@@ -1,10 +1,11 @@
 """Language-model scores by stupid backoff.
 
 The count tables of all n-grams (n up to 3) are partitioned by the top bits of the n-grams' hashes. Documents travel in
-chunks: a chunk sends each partition one block with its distinct n-grams in ascending order and how often it has each,
-and gets back, in the same order, how often the corpus has them. So an n-gram that is everywhere is one entry per
-chunk, not a row per occurrence. The chunk's n-grams are then exploded again, joined to their counts by position, and
-summed per document.
+chunks, and a chunk sends each partition one block with its distinct n-grams in ascending order, so that an n-gram that
+is everywhere is one entry per chunk and not a row per occurrence. Two rounds keep the blocks small: at first short
+fingerprints, which tell what no other chunk has (its count is the chunk's own); then, of the rest only, whole hashes and
+counts, which come back as the corpus counts in the same order. The chunk's n-grams are then exploded again, joined to
+their counts by position, and summed per document.
 
 score of w3 after w1 w2: c(w1 w2 w3) / c(w1 w2) if the trigram's count is at least min_count, else 0.4 times
 c(w2 w3) / c(w2) if the bigram's is, else 0.16 c(w3) / N. The first word of a text has only the last, without the
@@ -14,6 +15,7 @@ factor of the levels it can't have; the second word begins with the bigram.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
 from .common import U64, documents, hashed_words, windows
 
 ORDER = 3
@@ -69,7 +70,7 @@ def _ngrams(text: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """chunk long, n_words long, docs binary: (doc_id, text) of the chunk as a compressed Arrow stream."""
+    """chunk long, docs binary: (doc_id, text) of the chunk as a compressed Arrow stream."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
@@ -81,9 +82,8 @@ def chunks(docs: DataFrame) -> DataFrame:
             rows = pa.Table.from_batches(kept)
             with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 out.write_table(rows)
-            n = sum(len(w) for b in kept for _, w in hashed_words(b.column("text")))
             seq += 1
-            return pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() << 32 | seq], pa.int64()), pa.array([n], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "n_words", "docs"])
+            return pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() << 32 | seq], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "docs"])
 
         size = 0
         for batch in batches:
@@ -98,7 +98,7 @@ def chunks(docs: DataFrame) -> DataFrame:
         if kept:
             yield close()
 
-    return documents(docs).mapInArrow(run, "chunk long, n_words long, docs binary")
+    return documents(docs).mapInArrow(run, "chunk long, docs binary")
 
 
 def _texts(data: bytes) -> pa.Table:
@@ -110,6 +110,80 @@ def _column(t: pa.Table, name: str) -> pa.Array:
     return c.chunk(0) if c.num_chunks == 1 else pa.concat_arrays(c.chunks)
 
 
+@dataclass
+class Chunk:
+    """A chunk's texts, its distinct n-grams (u, ascending), how often it has each (c), and for every occurrence, all
+    unigrams first, the place in u."""
+
+    table: pa.Table
+    grams: list[np.ndarray]
+    n: np.ndarray
+    u: np.ndarray
+    which: np.ndarray
+    c: np.ndarray
+
+    @staticmethod
+    def of(data: bytes) -> Chunk:
+        table = _texts(data)
+        grams, n = _ngrams(_column(table, "text"))
+        u, which, c = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
+        return Chunk(table, grams, n, u, which, c)
+
+    def split(self, values: np.ndarray, bits: int) -> list[tuple[int, int]]:
+        """Ranges of ascending hashes by partition."""
+        at = np.searchsorted(values >> U64(64 - bits), np.arange((1 << bits) + 1, dtype=U64))
+        return list(zip(at[:-1].tolist(), at[1:].tolist()))
+
+    def shared(self, answers: list, width: int, bits: int) -> np.ndarray:
+        """Which n-grams may occur elsewhere or do occur here again. answers: of the first round, by partition."""
+        f = np.unique(self.u >> U64(64 - width))
+        flags = np.concatenate([np.unpackbits(np.frombuffer(a["data"], np.uint8), count=a["n"]) for a in sorted(answers, key=lambda a: a["part"])]).astype(bool)
+        return flags[np.searchsorted(f, self.u >> U64(64 - width))] | (self.c > 1)
+
+    def scores(self, count: np.ndarray, total: int, min_count: int) -> pa.Table:
+        n, ends = self.n, np.cumsum([len(g) for g in self.grams])
+        c = count[self.which]
+        c1, c2, c3 = c[: ends[0]], c[ends[0] : ends[1]], c[ends[1] :]
+        row = np.concatenate(([0], np.cumsum(n)))
+        doc = np.repeat(np.arange(len(n)), n)
+        place = np.arange(len(doc)) - row[doc]
+        second, third = place >= 1, place >= 2
+        first2, first3 = (np.concatenate(([0], np.cumsum(np.maximum(n - k, 0)))) for k in (1, 2))
+        # the n-gram that ends at a word, and the bigram before it
+        big, tri, context = (np.zeros(len(doc), np.int64) for _ in range(3))
+        big[second], tri[third] = c2[(first2[doc] + place - 1)[second]], c3[(first3[doc] + place - 2)[third]]
+        context[third] = c2[(first2[doc] + place - 2)[third]]
+        before = np.concatenate(([0], c1[:-1])) if len(c1) else c1
+        by3 = third & (tri >= min_count)
+        by2 = second & ~by3 & (big >= min_count)
+        value = np.log(np.maximum(c1, 1)) - np.log(max(total, 1)) + np.log(BACKOFF) * np.minimum(place, 2)
+        value[by2] = np.log(big[by2]) - np.log(before[by2]) + np.log(BACKOFF) * third[by2]
+        value[by3] = np.log(tri[by3]) - np.log(context[by3])
+        sums = lambda v: np.bincount(doc, weights=v, minlength=len(n))
+        out = [_column(self.table, "doc_id"), pa.array(n), *(pa.array(sums(x).astype(np.int64)) for x in (by3, by2, ~by3 & ~by2)), pa.array(np.round(sums(value), 4) + 0.0)]
+        return pa.Table.from_arrays(out, names=["doc_id", "n_words", "n_trigram", "n_bigram", "n_unigram", "score"])
+
+
+def _by_part(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[int, list[tuple]]]:
+    """Rows of one partition of the count tables, which come one after the other."""
+    current, rows = None, []
+    for batch in batches:
+        for row in zip(*(batch.column(x).to_pylist() for x in columns)):
+            if row[0] != current:
+                if rows:
+                    yield current, rows
+                current, rows = row[0], []
+            rows.append(row)
+    if rows:
+        yield current, rows
+
+
+def _batch(kinds: str, *columns: list) -> pa.RecordBatch:
+    types = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [x.split() for x in kinds.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, types[t]) for c, (_, t) in zip(columns, fields)], names=[f for f, _ in fields])
+
+
 def scores(docs: DataFrame, min_count: int = 2, partitions: int | None = None) -> DataFrame:
     """doc_id, n_words, n_trigram, n_bigram, n_unigram (positions scored by each level), score (natural logarithm,
     summed over the words, rounded to 4 places).
@@ -117,97 +191,76 @@ def scores(docs: DataFrame, min_count: int = 2, partitions: int | None = None) -
     Words are those of [^\\x20\\x09-\\x0D]+, A-Z lower-cased; counts are over all texts, the scored one included, and
     bigrams and trigrams seen fewer than min_count times count as unseen. Null and empty texts have no words and score
     0; a null doc_id stays; repeated rows count and are returned as often as they stand there. partitions: of the
-    count tables, by default the session's shuffle partitions; each is held by a task at a time."""
-    spark = docs.sparkSession
-    p = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    count tables, by default the session's shuffle partitions; each is held by a task at a time. The chunks are shuffled
+    once, and all three passes over them read that shuffle."""
+    p = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bits = max(1, (p - 1).bit_length())
-    parts = 1 << bits
-    held = cut(chunks(docs))
-    total = held.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()[0]
+    width = min(62, max(bits + 8, 32, int(size).bit_length() + 4))  # of fingerprints: few n-grams share one by chance
+    # the filter, which joins would add, makes the shuffle the same for all that read it, so that it is made once
+    held = chunks(docs).where("chunk is not null").repartition(p, "chunk")
+
+    ask_kinds = "part int, chunk long, n_words long, data binary"
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, data in zip(batch.column("chunk").to_pylist(), batch.column("docs")):
-                grams, _ = _ngrams(_column(_texts(data.as_buffer()), "text"))
-                u, c = np.unique(np.concatenate(grams), return_counts=True)
-                at = np.searchsorted(u >> U64(64 - bits), np.arange(parts + 1, dtype=U64))
-                some = [k for k in range(parts) if at[k] < at[k + 1]]
-                for k in some:
-                    a, b = at[k], at[k + 1]
-                    yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([k], pa.int32()), pa.array([_pack(u[a:b])], pa.binary()), pa.array([_pack_counts(c[a:b])], pa.binary())], names=["chunk", "part", "grams", "counts"])
+                x = Chunk.of(data.as_buffer())
+                f = np.unique(x.u >> U64(64 - width))
+                for part, (a, b) in enumerate(x.split(f << U64(64 - width), bits)):
+                    yield _batch(ask_kinds, [part], [chunk], [int(x.n.sum())], [_pack(f[a:b])])
+
+    answer_kinds = "chunk long, part int, total long, n long, data binary"
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def close() -> pa.RecordBatch:
-            grams = [_unpack(g) for _, g, _ in rows]
-            counts = [_unpack_counts(c, len(g)) for g, (_, _, c) in zip(grams, rows)]
-            u, which = np.unique(np.concatenate(grams), return_inverse=True)
-            n = np.bincount(which, weights=np.concatenate(counts)).astype(np.int64)
-            n[((u & U64(3)) > U64(1)) & (n < min_count)] = 0
-            back, at = [], 0
-            for g in grams:
-                back.append(_pack_counts(n[which[at : at + len(g)]]))
-                at += len(g)
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([current] * len(rows), pa.int32()), pa.array([len(g) for g in grams], pa.int64()), pa.array(back, pa.binary())], names=["chunk", "part", "n", "data"])
+        for part, rows in _by_part(batches, ["part", "chunk", "n_words", "data"]):
+            total = sum(r[2] for r in rows)  # every chunk has a row here
+            prints = [_unpack(r[3]) for r in rows]
+            u, c = np.unique(np.concatenate(prints), return_counts=True)
+            for r, f in zip(rows, prints):
+                yield _batch(answer_kinds, [r[1]], [part], [total], [len(f)], [np.packbits(c[np.searchsorted(u, f)] > 1).tobytes()])
+
+    count_kinds = "part int, chunk long, data binary, counts binary"
 
-        current, rows = None, []
+    def ask_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, part, grams, counts in zip(*(batch.column(x).to_pylist() for x in ("chunk", "part", "grams", "counts"))):
-                if part != current:
-                    if rows:
-                        yield close()
-                    current, rows = part, []
-                rows.append((chunk, grams, counts))
-        if rows:
-            yield close()
+            for chunk, data, answers in zip(batch.column("chunk").to_pylist(), batch.column("docs"), batch.column("answers").to_pylist()):
+                x = Chunk.of(data.as_buffer())
+                some = x.shared(answers, width, bits)
+                u, c = x.u[some], x.c[some]
+                for part, (a, b) in enumerate(x.split(u, bits)):
+                    if a < b:
+                        yield _batch(count_kinds, [part], [chunk], [_pack(u[a:b])], [_pack_counts(c[a:b])])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in _by_part(batches, ["part", "chunk", "data", "counts"]):
+            grams = [_unpack(r[2]) for r in rows]
+            u, which = np.unique(np.concatenate(grams), return_inverse=True)
+            n = np.bincount(which, weights=np.concatenate([_unpack_counts(r[3], len(g)) for r, g in zip(rows, grams)])).astype(np.int64)
+            at = 0
+            for r, g in zip(rows, grams):
+                yield _batch(answer_kinds, [r[1]], [part], [0], [len(g)], [_pack_counts(n[which[at : at + len(g)]])])
+                at += len(g)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def close() -> Iterator[pa.RecordBatch]:
-            table = _texts(texts)
-            grams, n = _ngrams(_column(table, "text"))
-            u, which = np.unique(np.concatenate(grams), return_inverse=True)
-            c = np.concatenate(got)[which] if got else np.zeros(0, np.int64)
-            ends = np.cumsum([len(g) for g in grams])
-            c1, c2, c3 = c[: ends[0]], c[ends[0] : ends[1]], c[ends[1] :]
-            row = np.concatenate(([0], np.cumsum(n)))
-            doc = np.repeat(np.arange(len(n)), n)
-            place = np.arange(len(doc)) - row[doc]
-            # the n-gram that ends at a word, counted from the first of the text's n-grams
-            second, third = place >= 1, place >= 2
-            first2 = np.concatenate(([0], np.cumsum(np.maximum(n - 1, 0))))
-            first3 = np.concatenate(([0], np.cumsum(np.maximum(n - 2, 0))))
-            at2 = (first2[doc] + place - 1)[second]
-            at3 = (first3[doc] + place - 2)[third]
-            big, tri, context = (np.zeros(len(doc), np.int64) for _ in range(3))
-            big[second], tri[third] = c2[at2], c3[at3]
-            context[third] = c2[(first2[doc] + place - 2)[third]]
-            before = np.concatenate(([0], c1[:-1])) if len(c1) else c1
-            by3 = tri > 0
-            by2 = ~by3 & (big > 0)
-            value = np.log(np.maximum(c1, 1)) - np.log(max(total, 1)) + np.log(BACKOFF) * np.minimum(place, 2)
-            value[by2] = np.log(big[by2]) - np.log(before[by2]) + np.log(BACKOFF) * third[by2]
-            value[by3] = np.log(tri[by3]) - np.log(context[by3])
-            sums = lambda v: np.bincount(doc, weights=v, minlength=len(n))
-            out = [table.column("doc_id").combine_chunks(), pa.array(n), *(pa.array(sums(x).astype(np.int64)) for x in (by3, by2, ~by3 & ~by2)), pa.array(np.round(sums(value), 4) + 0.0)]
-            yield from pa.Table.from_arrays(out, names=["doc_id", "n_words", "n_trigram", "n_bigram", "n_unigram", "score"]).to_batches(max_chunksize=10_000)
-
-        current, texts, got = None, b"", []
         for batch in batches:
-            for chunk, part, n, data in zip(*(batch.column(x).to_pylist() for x in ("chunk", "part", "n", "data"))):
-                if chunk != current:
-                    if current is not None:
-                        yield from close()
-                    current, got = chunk, []
-                if part < 0:
-                    texts = data
-                else:
-                    got.append(_unpack_counts(data, n))
-        if current is not None:
-            yield from close()
-
-    asked = held.select("chunk", "docs").mapInArrow(ask, "chunk long, part int, grams binary, counts binary")
-    counted = asked.repartition(parts, "part").sortWithinPartitions("part", "chunk").mapInArrow(answer, "chunk long, part int, n long, data binary")
-    both = counted.unionByName(held.select("chunk", F.lit(-1).alias("part"), F.lit(0).cast("long").alias("n"), F.col("docs").alias("data")))
-    ready = both.repartition("chunk").sortWithinPartitions("chunk", "part")
+            for data, answers, counts in zip(batch.column("docs"), batch.column("answers").to_pylist(), batch.column("counts").to_pylist()):
+                x = Chunk.of(data.as_buffer())
+                n = np.ones(len(x.u), np.int64)  # what no other chunk has, and this one has once
+                if counts:
+                    n[x.shared(answers, width, bits)] = np.concatenate([_unpack_counts(a["data"], a["n"]) for a in sorted(counts, key=lambda a: a["part"])])
+                yield from x.scores(n, answers[0]["total"], min_count).to_batches(max_chunksize=10_000)
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartition(1 << bits, "part").sortWithinPartitions("part", "chunk")
+
+    def gathered(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy("chunk").agg(F.collect_list(F.struct("part", "total", "n", "data")).alias(name))
+
+    answers = gathered(dealt(held.mapInArrow(ask, ask_kinds)).mapInArrow(answer, answer_kinds), "answers")
+    known = held.join(answers, "chunk")
+    counted = dealt(known.select("chunk", "docs", "answers").mapInArrow(ask_counts, count_kinds)).mapInArrow(count, answer_kinds)
+    ready = known.join(gathered(counted, "counts"), "chunk", "left").select("docs", "answers", "counts")
     return ready.mapInArrow(score, "doc_id long, n_words long, n_trigram long, n_bigram long, n_unigram long, score double")
 
 
