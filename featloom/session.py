@@ -30,11 +30,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-#: Rows up to which a side of a join is sent to every executor whole.
-SMALL_ROWS = 100_000
+#: Rows up to which a frame of narrow rows counts as small: it may go to every executor whole, and needs few tasks.
+SMALL_ROWS, FEW = 100_000, 8
 
 
 def small_side(df: DataFrame) -> DataFrame:
     """A frame of narrow rows, marked for broadcast if a count shows at most SMALL_ROWS of them; a larger one stays as it
     is, and the join shuffles. Count frames that are cut or read from a table, not ones that are dear to work out."""
-    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+    return F.broadcast(df.coalesce(FEW)) if df.count() <= SMALL_ROWS else df
