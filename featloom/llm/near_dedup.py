@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, small_side
+from ..session import FEW, SMALL_ROWS, cut, small_side
 from .common import U64, documents, hashed_words, mix, windows
 
 WORDS = 5
@@ -214,14 +214,16 @@ def components(edges: DataFrame) -> DataFrame:
     ids = left.select(F.col("a").alias("id")).union(left.select("b")).distinct()
     where = ids.select("id", F.col("id").alias("at"))
     turn = 0
-    while not left.isEmpty():
+    while n := left.count():
+        few = (lambda df: df.coalesce(FEW)) if n <= SMALL_ROWS else (lambda df: df)
+        left = few(left)
         both = left.union(left.select("b", "a"))
         rank = (lambda c: c) if turn % 2 == 0 else (lambda c: F.xxhash64(c, F.lit(turn)))
-        near = both.groupBy(F.col("a").alias("at")).agg(F.min(F.struct(rank(F.col("b")).alias("r"), F.col("b").alias("to"))).alias("m"))
+        near = few(both.groupBy(F.col("a").alias("at")).agg(F.min(F.struct(rank(F.col("b")).alias("r"), F.col("b").alias("to"))).alias("m")))
         to = small_side(cut(near.select("at", F.when(F.struct(rank(F.col("at")).alias("r"), F.col("at").alias("to")) < F.col("m"), F.col("at")).otherwise(F.col("m.to")).alias("to"))))
         where = where.join(to, "at", "left").select("id", F.coalesce("to", "at").alias("at"))
         left = left.join(to.withColumnsRenamed({"at": "a", "to": "x"}), "a").join(to.withColumnsRenamed({"at": "b", "to": "y"}), "b")
-        left = cut(left.select(F.col("x").alias("a"), F.col("y").alias("b")).where("a <> b").distinct())
+        left = cut(few(left.select(F.col("x").alias("a"), F.col("y").alias("b")).where("a <> b").distinct()))
         turn += 1
     smallest = where.groupBy("at").agg(F.min("id").alias("root"))
     return cut(where.join(smallest, "at").select("id", "root"))
@@ -238,7 +240,7 @@ def clusters(docs: DataFrame, percent: int = 85) -> DataFrame:
     rows = all_rows.where("doc_id is not null and sig is not null")
     classes = cut(rows.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sig", "rep"))
     # a class of one is its own representative; of others the smallest doc_id stands for all
-    reps = rows.join(classes, "sig", "left").where("rep is null or doc_id = rep").dropDuplicates(["doc_id", "sig"]).select("doc_id", "bands", "odd")
+    reps = cut(rows.join(small_side(classes), "sig", "left").where("rep is null or doc_id = rep").dropDuplicates(["doc_id", "sig"]).select("doc_id", "bands", "odd"))
     buckets = reps.select("doc_id", F.posexplode("bands").alias("band", "key"))
     hubs = buckets.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
     shared = cut(buckets.join(hubs, "key").select("key", "band", "doc_id", "lo", "hi", "n"))
