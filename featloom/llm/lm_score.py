@@ -28,21 +28,26 @@ from .common import U64, documents, hashed_words, windows
 
 ORDER = 3
 BACKOFF = 0.4
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 
 
 def _pack(values: np.ndarray) -> bytes:
-    """Ascending 64-bit values as differences of a fixed number of bytes."""
-    steps = np.diff(values, prepend=U64(0))
-    width = max(1, -(-int(steps.max()).bit_length() // 8)) if len(steps) else 1
-    return bytes([width]) + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    """Ascending 64-bit values: the first, then differences of a fixed number of bytes."""
+    if not len(values):
+        return b""
+    steps = np.diff(values, prepend=values[:1])
+    width = max(1, -(-int(steps.max()).bit_length() // 8))
+    return bytes([width]) + int(values[0]).to_bytes(8, "little") + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
 def _unpack(data: bytes) -> np.ndarray:
+    if not data:
+        return np.empty(0, U64)
     width = data[0]
-    cols = np.frombuffer(data, np.uint8, offset=1).reshape(-1, width)
+    cols = np.frombuffer(data, np.uint8, offset=9).reshape(-1, width)
     out = np.zeros((len(cols), 8), np.uint8)
     out[:, :width] = cols
+    out[0] = np.frombuffer(data, np.uint8, 8, 1)
     return np.cumsum(out.view("<u8").ravel(), dtype=U64)
 
 
@@ -112,22 +117,23 @@ def _column(t: pa.Table, name: str) -> pa.Array:
 
 @dataclass
 class Chunk:
-    """A chunk's texts, its distinct n-grams (u, ascending), how often it has each (c), and for every occurrence, all
-    unigrams first, the place in u."""
+    """A chunk's distinct n-grams (u, ascending) and how often it has each (c)."""
 
-    table: pa.Table
-    grams: list[np.ndarray]
-    n: np.ndarray
     u: np.ndarray
-    which: np.ndarray
     c: np.ndarray
+    n_words: int
 
     @staticmethod
     def of(data: bytes) -> Chunk:
-        table = _texts(data)
-        grams, n = _ngrams(_column(table, "text"))
-        u, which, c = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
-        return Chunk(table, grams, n, u, which, c)
+        grams, n = _ngrams(_column(_texts(data), "text"))
+        return Chunk(*Chunk.distinct(np.concatenate(grams)), int(n.sum()))
+
+    @staticmethod
+    def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ascending distinct values and their counts; values is sorted in place."""
+        values.sort()
+        first = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.empty(0, np.int64)
+        return values[first], np.diff(np.append(first, len(values)))
 
     def split(self, values: np.ndarray, bits: int) -> list[tuple[int, int]]:
         """Ranges of ascending hashes by partition."""
@@ -136,13 +142,17 @@ class Chunk:
 
     def shared(self, answers: list, width: int, bits: int) -> np.ndarray:
         """Which n-grams may occur elsewhere or do occur here again. answers: of the first round, by partition."""
-        f = np.unique(self.u >> U64(64 - width))
+        f, _ = Chunk.distinct(self.u >> U64(64 - width))
         flags = np.concatenate([np.unpackbits(np.frombuffer(a["data"], np.uint8), count=a["n"]) for a in sorted(answers, key=lambda a: a["part"])]).astype(bool)
         return flags[np.searchsorted(f, self.u >> U64(64 - width))] | (self.c > 1)
 
-    def scores(self, count: np.ndarray, total: int, min_count: int) -> pa.Table:
-        n, ends = self.n, np.cumsum([len(g) for g in self.grams])
-        c = count[self.which]
+    def scores(self, data: bytes, count: np.ndarray, total: int, min_count: int) -> pa.Table:
+        """Of the chunk's texts, the n-grams of which are looked up one order after the other."""
+        table = _texts(data)
+        grams, n = _ngrams(_column(table, "text"))
+        ends = np.cumsum([len(g) for g in grams])
+        c = np.concatenate([count[np.searchsorted(self.u, g)] for g in grams])
+        del grams
         c1, c2, c3 = c[: ends[0]], c[ends[0] : ends[1]], c[ends[1] :]
         row = np.concatenate(([0], np.cumsum(n)))
         doc = np.repeat(np.arange(len(n)), n)
@@ -160,7 +170,7 @@ class Chunk:
         value[by2] = np.log(big[by2]) - np.log(before[by2]) + np.log(BACKOFF) * third[by2]
         value[by3] = np.log(tri[by3]) - np.log(context[by3])
         sums = lambda v: np.bincount(doc, weights=v, minlength=len(n))
-        out = [_column(self.table, "doc_id"), pa.array(n), *(pa.array(sums(x).astype(np.int64)) for x in (by3, by2, ~by3 & ~by2)), pa.array(np.round(sums(value), 4) + 0.0)]
+        out = [_column(table, "doc_id"), pa.array(n), *(pa.array(sums(x).astype(np.int64)) for x in (by3, by2, ~by3 & ~by2)), pa.array(np.round(sums(value), 4) + 0.0)]
         return pa.Table.from_arrays(out, names=["doc_id", "n_words", "n_trigram", "n_bigram", "n_unigram", "score"])
 
 
@@ -196,7 +206,7 @@ def scores(docs: DataFrame, min_count: int = 2, partitions: int | None = None) -
     p = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bits = max(1, (p - 1).bit_length())
     size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()[0]
-    width = min(62, max(bits + 8, 32, int(size).bit_length() + 4))  # of fingerprints: few n-grams share one by chance
+    width = min(62, max(bits + 8, 30, int(size).bit_length() + 2))  # of fingerprints: few n-grams share one by chance
     # the filter, which joins would add, makes the shuffle the same for all that read it, so that it is made once
     held = chunks(docs).where("chunk is not null").repartition(p, "chunk")
 
@@ -206,9 +216,9 @@ def scores(docs: DataFrame, min_count: int = 2, partitions: int | None = None) -
         for batch in batches:
             for chunk, data in zip(batch.column("chunk").to_pylist(), batch.column("docs")):
                 x = Chunk.of(data.as_buffer())
-                f = np.unique(x.u >> U64(64 - width))
+                f, _ = Chunk.distinct(x.u >> U64(64 - width))
                 for part, (a, b) in enumerate(x.split(f << U64(64 - width), bits)):
-                    yield _batch(ask_kinds, [part], [chunk], [int(x.n.sum())], [_pack(f[a:b])])
+                    yield _batch(ask_kinds, [part], [chunk], [x.n_words], [_pack(f[a:b])])
 
     answer_kinds = "chunk long, part int, total long, n long, data binary"
 
@@ -216,7 +226,7 @@ def scores(docs: DataFrame, min_count: int = 2, partitions: int | None = None) -
         for part, rows in _by_part(batches, ["part", "chunk", "n_words", "data"]):
             total = sum(r[2] for r in rows)  # every chunk has a row here
             prints = [_unpack(r[3]) for r in rows]
-            u, c = np.unique(np.concatenate(prints), return_counts=True)
+            u, c = Chunk.distinct(np.concatenate(prints))
             for r, f in zip(rows, prints):
                 yield _batch(answer_kinds, [r[1]], [part], [total], [len(f)], [np.packbits(c[np.searchsorted(u, f)] > 1).tobytes()])
 
@@ -235,12 +245,12 @@ def scores(docs: DataFrame, min_count: int = 2, partitions: int | None = None) -
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, rows in _by_part(batches, ["part", "chunk", "data", "counts"]):
             grams = [_unpack(r[2]) for r in rows]
-            u, which = np.unique(np.concatenate(grams), return_inverse=True)
-            n = np.bincount(which, weights=np.concatenate([_unpack_counts(r[3], len(g)) for r, g in zip(rows, grams)])).astype(np.int64)
-            at = 0
+            u, _ = Chunk.distinct(np.concatenate(grams))
+            n = np.zeros(len(u), np.int64)
+            for r, g in zip(rows, grams):  # a chunk has each n-gram once
+                n[np.searchsorted(u, g)] += _unpack_counts(r[3], len(g))
             for r, g in zip(rows, grams):
-                yield _batch(answer_kinds, [r[1]], [part], [0], [len(g)], [_pack_counts(n[which[at : at + len(g)]])])
-                at += len(g)
+                yield _batch(answer_kinds, [r[1]], [part], [0], [len(g)], [_pack_counts(n[np.searchsorted(u, g)])])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -249,7 +259,7 @@ def scores(docs: DataFrame, min_count: int = 2, partitions: int | None = None) -
                 n = np.ones(len(x.u), np.int64)  # what no other chunk has, and this one has once
                 if counts:
                     n[x.shared(answers, width, bits)] = np.concatenate([_unpack_counts(a["data"], a["n"]) for a in sorted(counts, key=lambda a: a["part"])])
-                yield from x.scores(n, answers[0]["total"], min_count).to_batches(max_chunksize=10_000)
+                yield from x.scores(data.as_buffer(), n, answers[0]["total"], min_count).to_batches(max_chunksize=10_000)
 
     def dealt(rows: DataFrame) -> DataFrame:
         return rows.repartition(1 << bits, "part").sortWithinPartitions("part", "chunk")
