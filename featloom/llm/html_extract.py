@@ -4,8 +4,8 @@ Pages are cut into tokens in context: block tags with the path of block tags aro
 theirs. Over the pages of a host each token has an occurrence vector (how often each page has it); tokens of equal
 vectors are an equivalence class. Vectors are never built: a class is known by sums of hashes of (page, count), which
 combine in any order, so that a host of any size is summed up in parts. Classes that span the host's pages and whose
-tokens nest in each other make the template; text that belongs to it is the site's, the slots that remain are the page's. The
-slot with the host's own text is extracted, less what its markup says isn't the article's.
+tokens nest in each other make the template; text that belongs to it is the site's, and what its markup says isn't the
+article's is left out too. All other text of the page is extracted, in whatever slots it lies.
 """
 
 from __future__ import annotations
@@ -133,35 +133,21 @@ def token(kind: str, path: tuple[str, ...], text: str = "") -> int:
     return int.from_bytes(blake2b("\x00".join([kind, *path, text]).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
-#: Tags that can hold an article.
-SLOTS = frozenset("article main section div td body html".split())
-#: Share of the text outside menus and the like that a slot has at least.
-SHARE = 0.6
 PAGE = 0  # the token that every page has once
 
 
-def _tokens(html: str) -> list[tuple[int, int, bool, int, int, int]]:
-    """(token, count, is_text, token of the tag around it, code points in the slot, depth) of a page's tokens; none of a
-    page without blocks of text, which says nothing about its host."""
-    blocks, paths, outside, _ = parse(html)
+def _tokens(html: str) -> list[tuple[int, int, bool, int]]:
+    """(token, count, is_text, token of the tag around it) of a page's tokens; none of a page without blocks of text,
+    which says nothing about its host."""
+    blocks, paths, _, _ = parse(html)
     if not blocks:
         return []
-    sizes = dict.fromkeys(paths, 0)
-    total = 0
-    for b in blocks:
-        if not b.nodes or b.nodes[-1] not in outside:
-            total += len(b.text)
-            for node in b.nodes:
-                sizes[node] += len(b.text)
     out: dict[int, list] = {}
-    for node, path in paths.items():
-        t = out.setdefault(token("tag", path), [0, False, token("tag", path[:-1]), 0, len(path)])
-        t[0] += 1
-        if node not in outside and path[-1].split("[")[0] in SLOTS:
-            t[3] += sizes[node]
+    for path in paths.values():
+        out.setdefault(token("tag", path), [0, False, token("tag", path[:-1])])[0] += 1
     for b in blocks:
-        out.setdefault(token("text", b.path, b.text), [0, True, token("tag", b.path), 0, 0])[0] += 1
-    return [(PAGE, 1, False, PAGE, total, 0), *((t, *x) for t, x in out.items())]
+        out.setdefault(token("text", b.path, b.text), [0, True, token("tag", b.path)])[0] += 1
+    return [(PAGE, 1, False, PAGE), *((t, *x) for t, x in out.items())]
 
 
 def _pages(pages: DataFrame) -> DataFrame:
@@ -170,13 +156,12 @@ def _pages(pages: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame, support: int = SUPPORT) -> DataFrame:
-    """host, site (text tokens of the template), slot (the tag that holds the host's own text, or null), for hosts of
-    at least support pages.
+    """host, site (text tokens of the template), for hosts of at least support pages.
 
     The template is the class of tokens whose occurrence vector is that of the page itself: once on each page. A text
     is the site's if the tag around it is in the class too, so that the class nests."""
-    kinds = "host string, page long, token long, n int, is_text boolean, inside long, mass long, depth int"
-    types = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int32()]
+    kinds = "host string, page long, token long, n int, is_text boolean, inside long"
+    types = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,43 +173,25 @@ def templates(pages: DataFrame, support: int = SUPPORT) -> DataFrame:
 
     rows = _pages(pages).where("host <> ''").select("host", F.xxhash64("page_id", "url", "html").alias("page"), "html").mapInArrow(run, kinds)
     part = lambda seed: F.sum(F.pmod(F.xxhash64("page", "n", F.lit(seed)), F.lit(1 << 31))).alias(f"v{seed}")
-    numbers = [F.max(F.col("is_text").cast("int")).alias("text"), F.max("inside").alias("inside"), F.sum("mass").alias("mass"), F.max("depth").alias("depth")]
+    numbers = [F.max(F.col("is_text").cast("int")).alias("text"), F.max("inside").alias("inside")]
     seen = rows.groupBy("host", "token").agg(F.count(F.lit(1)).alias("pages"), part(1), part(2), *numbers).where(F.col("pages") >= support)
-    whole = seen.where(F.col("token") == PAGE).select("host", F.col("pages").alias("p"), F.col("v1").alias("w1"), F.col("v2").alias("w2"), F.col("mass").alias("all"))
+    whole = seen.where(F.col("token") == PAGE).select("host", F.col("pages").alias("p"), F.col("v1").alias("w1"), F.col("v2").alias("w2"))
     seen = seen.join(whole, "host")
     same = (F.col("pages") == F.col("p")) & (F.col("v1") == F.col("w1")) & (F.col("v2") == F.col("w2"))
-    slot = (F.col("text") == 0) & (F.col("depth") > 0) & (F.col("mass") > 0) & (F.col("mass") >= F.lit(SHARE) * F.col("all"))
     # few rows of a host get here: no more than tokens stand on one page
-    marked = seen.where(same | slot).groupBy("host").agg(
-        F.collect_list(F.when(same & (F.col("text") == 1), F.struct("token", "inside"))).alias("texts"),
-        F.collect_list(F.when(same & (F.col("text") == 0), F.col("token"))).alias("tags"),
-        F.max(F.when(slot, F.struct("depth", "mass", "token"))).alias("best"),
+    marked = seen.where(same).groupBy("host").agg(
+        F.collect_list(F.when(F.col("text") == 1, F.struct("token", "inside"))).alias("texts"),
+        F.collect_list(F.when(F.col("text") == 0, F.col("token"))).alias("tags"),
     )
     site = F.transform(F.filter("texts", lambda x: F.array_contains("tags", x["inside"])), lambda x: x["token"])
-    return marked.select("host", F.sort_array(site).alias("site"), F.col("best.token").alias("slot"))
-
-
-def main_text(html: str, site: frozenset[int] = frozenset(), slot: int | None = None) -> str:
-    """The blocks of the page's slot, joined by line feeds."""
-    blocks, paths, outside, landmarks = parse(html)
-    free = [b for b in blocks if (not b.nodes or b.nodes[-1] not in outside) and not (site and token("text", b.path, b.text) in site)]
-    sizes = dict.fromkeys(paths, 0)
-    for b in free:
-        for node in b.nodes:
-            sizes[node] += len(b.text)
-    marks = [x for x in landmarks if x not in outside and sizes[x]]
-    if marks:
-        most = max(sizes[x] for x in marks)
-        chosen = {max((x for x in marks if sizes[x] >= SHARE * most), key=lambda x: (len(paths[x]), sizes[x], -x))}
-    else:
-        chosen = {x for x, path in paths.items() if slot is not None and x not in outside and sizes[x] and token("tag", path) == slot}
-        if not chosen:
-            total = sum(len(b.text) for b in free)
-            own = [x for x, path in paths.items() if x not in outside and path[-1].split("[")[0] in SLOTS and sizes[x] and sizes[x] >= SHARE * total]
-            chosen = {max(own, key=lambda x: (len(paths[x]), sizes[x], -x))} if own else set()
-    if not chosen:
-        return "\n".join(b.text for b in free)
-    return "\n".join(b.text for b in free if chosen & set(b.nodes))
+    return marked.select("host", F.sort_array(site).alias("site"))
+
+
+def main_text(html: str, site: frozenset[int] = frozenset()) -> str:
+    """The blocks of the page that are neither the site's nor outside the article by their markup, joined by line feeds."""
+    blocks, _, outside, _ = parse(html)
+    free = (b for b in blocks if not b.nodes or b.nodes[-1] not in outside)
+    return "\n".join(b.text for b in free if not site or token("text", b.path, b.text) not in site)
 
 
 #: Bytes up to which the table of templates goes to every executor whole.
@@ -239,7 +206,7 @@ def extract(pages: DataFrame, support: int = SUPPORT) -> DataFrame:
     repeated rows give repeated results (and count as pages). Decoded references follow HTML 5; white space of any
     kind becomes one space; a line break ends a block. The host's template goes to the pages by a broadcast where its
     table is at most BROADCAST_BYTES, else by a join on the host, whose large partitions Spark splits."""
-    found = cut(templates(pages, support).where("slot is not null or size(site) > 0"))
+    found = cut(templates(pages, support).where("size(site) > 0"))
     size = found.agg(F.coalesce(F.sum(F.size("site") * 8 + F.length("host") + 64), F.lit(0))).first()[0]
     found = F.broadcast(found) if size <= BROADCAST_BYTES else found
 
@@ -247,8 +214,8 @@ def extract(pages: DataFrame, support: int = SUPPORT) -> DataFrame:
         for batch in batches:
             for part in range(0, batch.num_rows, 500):
                 b = batch.slice(part, 500)
-                texts = [main_text(html, frozenset(site or ()), slot) for html, site, slot in zip(*(b.column(x).to_pylist() for x in ("html", "site", "slot")))]
+                texts = [main_text(html, frozenset(site or ())) for html, site in zip(*(b.column(x).to_pylist() for x in ("html", "site")))]
                 yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     joined = _pages(pages).join(found, "host", "left")
-    return joined.select("page_id", "url", "html", "site", "slot").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "site").mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -189,6 +189,13 @@ def test_html_of_one_page():
     assert html_extract.main_text(plain) == "one\ntwo three four"
 
 
+def test_html_keeps_all_that_is_not_marked():
+    lead, rest = "lead " * 34, "rest " * 66
+    assert html_extract.main_text(f"<body><div class=story><h1>Head</h1><p>{lead}</p><div class=more><p>{rest}</p></div></div></body>") == f"Head\n{lead.strip()}\n{rest.strip()}"
+    assert html_extract.main_text(f"<body><div>{rest}</div><div>{lead}</div></body>") == f"{rest.strip()}\n{lead.strip()}"
+    assert html_extract.main_text("<body><h1>Head</h1><article>one</article><article>two and more</article></body>") == "Head\none\ntwo and more"
+
+
 def test_html_templates_and_edges(spark):
     rng = random.Random(5)
     rows, want = [], {}
