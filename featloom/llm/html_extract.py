@@ -3,9 +3,9 @@
 Pages are cut into tokens in context: block tags with the path of block tags around them, and whole text blocks with
 theirs. Over the pages of a host each token has an occurrence vector (how often each page has it); tokens of equal
 vectors are an equivalence class. Vectors are never built: a class is known by sums of hashes of (page, count), which
-combine in any order, so that a host of any size is summed up in parts. Classes that span the host's pages and whose
-tokens nest in each other make the template; text that belongs to it is the site's, and what its markup says isn't the
-article's is left out too. All other text of the page is extracted, in whatever slots it lies.
+combine in any order, so that a host of any size is summed up in parts. Classes that are large and frequent enough make
+the template; text that belongs to them is the site's, and what its markup says isn't the article's is left out too. All
+other text of the page is extracted, in whatever slots it lies.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from hashlib import blake2b
 from html import unescape
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -41,8 +41,12 @@ MARKS = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies footer login menu modal nav navbar navigation newsletter "
     "notice notification popup promo related replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar".split()
 )
-#: Pages a host needs before text common to all of them is taken for the site's.
-SUPPORT = 20
+#: Pages a class spans at least: so many, and this share of its host's.
+SUPPORT, FREQUENT = 3, 0.2
+#: Tokens of a class on fewer pages than this share of its host's.
+SIZE, COMMON = 3, 0.5
+#: Share of the text above which classes are taken for copies of one article, not for a template.
+COPIED = 0.5
 
 
 @dataclass
@@ -136,18 +140,24 @@ def token(kind: str, path: tuple[str, ...], text: str = "") -> int:
 PAGE = 0  # the token that every page has once
 
 
-def _tokens(html: str) -> list[tuple[int, int, bool, int]]:
-    """(token, count, is_text, token of the tag around it) of a page's tokens; none of a page without blocks of text,
-    which says nothing about its host."""
-    blocks, paths, _, _ = parse(html)
+def _tokens(html: str) -> list[tuple[int, int, int, int]]:
+    """(token, count, code points of text in it or 0 for tags, the same of the whole page) of a page's tokens, without what
+    is outside the article by its markup; none of a page without blocks of text, which says nothing about its host."""
+    blocks, paths, outside, _ = parse(html)
     if not blocks:
         return []
     out: dict[int, list] = {}
-    for path in paths.values():
-        out.setdefault(token("tag", path), [0, False, token("tag", path[:-1])])[0] += 1
+    for node, path in paths.items():
+        if node not in outside:
+            out.setdefault(token("tag", path), [0, 0])[0] += 1
+    total = 0
     for b in blocks:
-        out.setdefault(token("text", b.path, b.text), [0, True, token("tag", b.path)])[0] += 1
-    return [(PAGE, 1, False, PAGE), *((t, *x) for t, x in out.items())]
+        if not b.nodes or b.nodes[-1] not in outside:
+            t = out.setdefault(token("text", b.path, b.text), [0, 0])
+            t[0] += 1
+            t[1] += len(b.text)
+            total += len(b.text)
+    return [(PAGE, 1, 0, total), *((t, *x, total) for t, x in out.items())]
 
 
 def _pages(pages: DataFrame) -> DataFrame:
@@ -158,10 +168,14 @@ def _pages(pages: DataFrame) -> DataFrame:
 def templates(pages: DataFrame, support: int = SUPPORT) -> DataFrame:
     """host, site (text tokens of the template), for hosts of at least support pages.
 
-    The template is the class of tokens whose occurrence vector is that of the page itself: once on each page. A text
-    is the site's if the tag around it is in the class too, so that the class nests."""
-    kinds = "host string, page long, token long, n int, is_text boolean, inside long"
-    types = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64()]
+    The classes of a host are its tokens by occurrence vector, whichever that is: texts once or more often on all pages,
+    or on those of one layout. Kept are classes on at least support pages and the share FREQUENT of the host's, of at least
+    SIZE tokens where they aren't on the share COMMON. As tokens have the path of the tags around them, a class lies on no
+    page without its enclosing tags, and so nests in their classes. Copies of an article also make classes: one with more
+    than the share COPIED of the text of its pages, or with that of the host together with those at least as frequent, isn't
+    template."""
+    kinds = "host string, page long, token long, n int, mass long, total long"
+    types = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,18 +187,18 @@ def templates(pages: DataFrame, support: int = SUPPORT) -> DataFrame:
 
     rows = _pages(pages).where("host <> ''").select("host", F.xxhash64("page_id", "url", "html").alias("page"), "html").mapInArrow(run, kinds)
     part = lambda seed: F.sum(F.pmod(F.xxhash64("page", "n", F.lit(seed)), F.lit(1 << 31))).alias(f"v{seed}")
-    numbers = [F.max(F.col("is_text").cast("int")).alias("text"), F.max("inside").alias("inside")]
-    seen = rows.groupBy("host", "token").agg(F.count(F.lit(1)).alias("pages"), part(1), part(2), *numbers).where(F.col("pages") >= support)
-    whole = seen.where(F.col("token") == PAGE).select("host", F.col("pages").alias("p"), F.col("v1").alias("w1"), F.col("v2").alias("w2"))
-    seen = seen.join(whole, "host")
-    same = (F.col("pages") == F.col("p")) & (F.col("v1") == F.col("w1")) & (F.col("v2") == F.col("w2"))
-    # few rows of a host get here: no more than tokens stand on one page
-    marked = seen.where(same).groupBy("host").agg(
-        F.collect_list(F.when(F.col("text") == 1, F.struct("token", "inside"))).alias("texts"),
-        F.collect_list(F.when(F.col("text") == 0, F.col("token"))).alias("tags"),
-    )
-    site = F.transform(F.filter("texts", lambda x: F.array_contains("tags", x["inside"])), lambda x: x["token"])
-    return marked.select("host", F.sort_array(site).alias("site"))
+    seen = rows.groupBy("host", "token").agg(F.count(F.lit(1)).alias("pages"), part(1), part(2), F.sum("mass").alias("mass"), F.sum("total").alias("total"))
+    seen = cut(seen.where(F.col("pages") >= support))
+    whole = seen.where(F.col("token") == PAGE).select("host", F.col("pages").alias("p"), F.col("total").alias("all"))
+    # few rows of a host get here: FREQUENT bounds them by some times the tokens of one page
+    seen = seen.join(whole, "host").where(F.col("pages") >= F.lit(FREQUENT) * F.col("p"))
+    texts = F.collect_list(F.when(F.col("mass") > 0, F.col("token"))).alias("texts")
+    classes = seen.groupBy("host", "p", "all", "pages", "v1", "v2").agg(F.count(F.lit(1)).alias("size"), F.sum("mass").alias("mass"), F.max("total").alias("total"), texts)
+    large = (F.col("size") >= SIZE) | (F.col("pages") >= F.lit(COMMON) * F.col("p"))
+    classes = classes.where(large & (F.col("mass") > 0) & (F.col("mass") <= F.lit(COPIED) * F.col("total")))
+    outer = Window.partitionBy("host").orderBy(F.col("pages").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    classes = classes.withColumn("above", F.sum("mass").over(outer)).where(F.col("above") <= F.lit(COPIED) * F.col("all"))
+    return classes.groupBy("host").agg(F.sort_array(F.flatten(F.collect_list("texts"))).alias("site"))
 
 
 def main_text(html: str, site: frozenset[int] = frozenset()) -> str:

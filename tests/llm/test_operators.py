@@ -214,6 +214,33 @@ def test_html_templates_and_edges(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_html_classes(spark):
+    rng = random.Random(6)
+    para = lambda: " ".join(rng.choice(VOCAB) for _ in range(20))
+    rows, want = [], {}
+
+    def add(host, make):
+        n, p = len(rows), para()
+        rows.append((n, f"http://{host}/{n}", f"<html><body>{make(p)}</body></html>"))
+        want[n] = " ".join(p.split())
+
+    for _ in range(24):  # one page differs, a notice among paragraphs
+        add("a.example", lambda p: f"<div class=w><p>Our notice</p><p>{p}</p><p>Twice</p><p>Twice</p></div>")
+    add("a.example", lambda p: f"<table><tr><td>{p}</td></tr></table>")
+    for _ in range(3):  # a small host
+        add("b.example", lambda p: f"<div>Small site</div><div>{p}</div>")
+    for i in range(20):  # two layouts
+        add("c.example", (lambda p: f"<div class=x><p>First kind</p><p>{p}</p></div>") if i % 3 else (lambda p: f"<div class=y><ul><li>Second kind</li></ul><p>{p}</p></div>"))
+    copied = [" ".join(para().split()) for _ in range(4)]
+    for host, n in (("d.example", 4), ("e.example", 20)):  # copies of an article are no template
+        for i in range(n):
+            add(host, lambda p: "".join(f"<p>{x}</p>" for x in copied) if i < 4 else f"<p>{p}</p>")
+            if i < 4:
+                want[len(rows) - 1] = "\n".join(copied)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_extract.extract(df).collect()} == want
+
+
 # 4
 
 
