@@ -35,7 +35,7 @@ BLOCKS = frozenset("address article aside blockquote body button caption center
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Open blocks that the start of another closes.
 CLOSES = {"p": {"p"}, "li": {"p", "li"}, "dd": {"p", "dd", "dt"}, "dt": {"p", "dd", "dt"}, "tr": {"p", "td", "th", "tr"}, "td": {"p", "td", "th"}, "th": {"p", "td", "th"}}
-#: Blocks that aren't the article's, by tag and by words in class, id or role.
+#: Blocks that aren't the article's, by tag and by whole tokens of class, id or role; the latter not where they hold the article.
 OUTSIDE = frozenset("nav footer aside form button dialog menu head".split())
 MARKS = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies footer login menu modal nav navbar navigation newsletter "
@@ -58,19 +58,25 @@ class Block:
 
 
 def _label(name: str, attributes: str) -> tuple[str, bool]:
-    """The tag with its class, id and role; and whether it is outside the article."""
+    """The tag with its class, id and role; and whether a token of these says that it is outside the article."""
     named = " ".join(x.strip("\"'") for x in NAMED.findall(attributes)).lower()
-    words = set(re.split(r"[^a-z0-9]+", named))
-    return (f"{name}[{named}]" if named else name), name in OUTSIDE or bool(words & MARKS)
+    return (f"{name}[{named}]" if named else name), not MARKS.isdisjoint(named.split())
 
 
-def parse(html: str) -> tuple[list[Block], dict[int, tuple[str, ...]], set[int], set[int]]:
-    """Blocks in page order; the path of every block element; elements outside the article; article or main elements."""
+def parse(html: str) -> tuple[list[Block], dict[int, tuple[str, ...]], set[int]]:
+    """Blocks in page order; the path of every block element; elements outside the article.
+
+    A mark doesn't hold for html, body, main and article, nor for an element with one of the latter two inside, nor for
+    one with more than half of the text that isn't outside by its tags, unless the page has landmarks with text and it
+    lies in none of them."""
     blocks: list[Block] = []
     stack: list[tuple[str, str, int]] = []
     paths: dict[int, tuple[str, ...]] = {}
-    outside: set[int] = set()
+    parents: list[int] = []  # -1 for none
+    off: set[int] = set()  # by tag
+    marked: set[int] = set()
     landmarks: set[int] = set()
+    holding: set[int] = set()  # landmarks and what they lie in
     text: list[str] = []
     linked = links = 0
 
@@ -117,20 +123,40 @@ def parse(html: str) -> tuple[list[Block], dict[int, tuple[str, ...]], set[int],
                 pop(len(stack) - 1)
         elif stack and stack[-1][0] == "p":
             pop(len(stack) - 1)
-        label, off = _label(name, attributes)
-        if name == "header" and not any(x[0] in ("article", "main") for x in stack):
-            off = True
+        label, mark = _label(name, attributes)
         node = len(paths)
+        parents.append(stack[-1][2] if stack else -1)
+        if name in OUTSIDE or parents[-1] in off or name == "header" and not any(x[0] in ("article", "main") for x in stack):
+            off.add(node)
         stack.append((name, label, node))
         paths[node] = tuple(x[1] for x in stack)
-        if off or (len(stack) > 1 and stack[-2][2] in outside):
-            outside.add(node)
-        if name in ("article", "main") or "role" in attributes and re.search(r"""role\s*=\s*["']?main\b""", attributes, re.IGNORECASE):
+        if mark:
+            marked.add(node)
+        if name in ("html", "body"):
+            holding.add(node)
+        elif name in ("article", "main") or "role" in attributes and re.search(r"""role\s*=\s*["']?main\b""", attributes, re.IGNORECASE):
             landmarks.add(node)
+            holding.update(x[2] for x in stack)
     if at < len(html):
         text.append(html[at:])
     flush()
-    return blocks, paths, outside, landmarks
+    marked -= holding
+    if marked:
+        sizes, total, within, article = dict.fromkeys(marked, 0), 0, set(), False
+        for b in blocks:
+            if not b.nodes or b.nodes[-1] not in off:
+                total += len(b.text)
+                main = next((k for k, node in enumerate(b.nodes) if node in landmarks), len(b.nodes))
+                article = article or main < len(b.nodes)
+                within.update(marked.intersection(b.nodes[main:]))
+                for node in marked.intersection(b.nodes):
+                    sizes[node] += len(b.text)
+        marked = {x for x, n in sizes.items() if 2 * n <= total or article and x not in within}
+    outside: set[int] = set()
+    for node, parent in enumerate(parents):
+        if node in off or node in marked or parent in outside:
+            outside.add(node)
+    return blocks, paths, outside
 
 
 def token(kind: str, path: tuple[str, ...], text: str = "") -> int:
@@ -143,7 +169,7 @@ PAGE = 0  # the token that every page has once
 def _tokens(html: str) -> list[tuple[int, int, int, int]]:
     """(token, count, code points of text in it or 0 for tags, the same of the whole page) of a page's tokens, without what
     is outside the article by its markup; none of a page without blocks of text, which says nothing about its host."""
-    blocks, paths, outside, _ = parse(html)
+    blocks, paths, outside = parse(html)
     if not blocks:
         return []
     out: dict[int, list] = {}
@@ -203,7 +229,7 @@ def templates(pages: DataFrame, support: int = SUPPORT) -> DataFrame:
 
 def main_text(html: str, site: frozenset[int] = frozenset()) -> str:
     """The blocks of the page that are neither the site's nor outside the article by their markup, joined by line feeds."""
-    blocks, _, outside, _ = parse(html)
+    blocks, _, outside = parse(html)
     free = (b for b in blocks if not b.nodes or b.nodes[-1] not in outside)
     return "\n".join(b.text for b in free if not site or token("text", b.path, b.text) not in site)
 

@@ -196,6 +196,25 @@ def test_html_keeps_all_that_is_not_marked():
     assert html_extract.main_text("<body><h1>Head</h1><article>one</article><article>two and more</article></body>") == "Head\none\ntwo and more"
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body class='no-sidebar'><p>{}</p></body>",
+        "<body class=sidebar><p>{}</p></body>",
+        "<body><div class='content has-sidebar'><p>{}</p></div></body>",
+        "<body><article class='post related-news'><p>{}</p></article></body>",
+        "<body><article class='related'><p>{}</p></article></body>",
+        "<body><main class='page comments-closed'><p>{}</p></main></body>",
+        "<body><div id=comments><p>a</p><article>{}</article></div></body>",
+        "<body><main><div class=social>{}</div></main></body>",
+        "<body><nav>a long long menu</nav><div class=social>{}</div><div class=sidebar>s</div></body>",
+    ],
+)
+def test_html_marks_spare_the_article(page):
+    assert "whole article" in html_extract.main_text(page.format("whole article"))
+    assert html_extract.main_text("<div class=ad>more ad than article</div><article>short</article>") == "short"
+
+
 def test_html_templates_and_edges(spark):
     rng = random.Random(5)
     rows, want = [], {}
