@@ -3,11 +3,13 @@
 Templates are cut into words; hashes of word k-grams are winnowed (the least of each window is kept) into an inverted
 index of template and place. Every k-gram of a text is looked up. Hits of one template whose places lie near one
 diagonal are a candidate, and a banded local alignment of the template's words with the text's gives the matched words,
-the share of the template they cover, and the span.
+the share of the template they cover, and the span. The best alignment of all candidates is taken first, its words are
+masked and its candidate is aligned again, until none reaches the coverage.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,20 +59,26 @@ class Index:
 def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int) -> tuple[int, int, int]:
     """(matched words, first, end) of the best local alignment whose path stays within band of the diagonal (text place
     minus template place). Of equal scores the one that ends first in the template, then in the text."""
+    return _align(template, text, diagonal, band, np.zeros(len(text), bool))[1:]
+
+
+def _align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int, used: np.ndarray) -> tuple[int, int, int, int]:
+    """(score, matched words, first, end) as of align, of a path without used words of the text."""
     n, width = len(template), 2 * band + 1
-    h = np.zeros((n + 1, width + 1), np.int64)  # h[i, k]: ends at template word i - 1 and text word i - 1 + diagonal - band + k
-    steps = np.arange(width) * GAP
+    h = np.zeros((n + 1, width + 1), np.int32)  # h[i, k]: ends at template word i - 1 and text word i - 1 + diagonal - band + k
+    steps = np.arange(width, dtype=np.int32) * GAP
     for i in range(1, n + 1):
         j = i - 1 + diagonal - band + np.arange(width)
         inside = (j >= 0) & (j < len(text))
         same = np.zeros(width, bool)
+        inside[inside] = ~used[j[inside]]
         same[inside] = text[j[inside]] == template[i - 1]
         best = np.maximum(np.maximum(h[i - 1, :width] + np.where(same, MATCH, MISS), h[i - 1, 1:] + GAP), 0)
         best = np.maximum.accumulate(best - steps) + steps
         h[i, :width] = np.where(inside, np.maximum(best, 0), 0)
     i, k = np.unravel_index(int(np.argmax(h[:, :width])), (n + 1, width))
     i, k = int(i), int(k)
-    end, matched, first = i - 1 + diagonal - band + k + 1, 0, 0
+    score, end, matched, first = int(h[i, k]), i - 1 + diagonal - band + k + 1, 0, 0
     while i > 0 and k >= 0 and h[i, k] > 0:
         j = i - 1 + diagonal - band + k
         same = 0 <= j < len(text) and text[j] == template[i - 1]
@@ -82,11 +90,21 @@ def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int) -> t
             i, k = i - 1, k + 1
         else:
             k -= 1
-    return matched, first, end
+    return score, matched, first, end
+
+
+def _most(template: np.ndarray, text: np.ndarray, diagonal: int, band: int, used: np.ndarray) -> int:
+    """A bound of the words an alignment can match: those of the template with an equal, unused word in the band."""
+    found = np.zeros(len(template), bool)
+    for d in range(diagonal - band, diagonal + band + 1):
+        a, b = max(0, -d), min(len(template), len(text) - d)
+        if a < b:
+            found[a:b] |= (template[a:b] == text[a + d : b + d]) & ~used[a + d : b + d]
+    return int(found.sum())
 
 
 def _found(index: Index, words: np.ndarray, coverage: float, band: int) -> Iterator[tuple[int, int, int, int]]:
-    """(template, matched, first word, end word) of a text, at most one for each of its candidates' spans."""
+    """(template, matched, first word, end word) of a text, for all places of a template, which don't overlap."""
     grams = windows(words, GRAM)
     by: dict[int, list[tuple[int, int]]] = {}
     for p in index.hits(grams).tolist():
@@ -99,12 +117,26 @@ def _found(index: Index, words: np.ndarray, coverage: float, band: int) -> Itera
             if m[0] - groups[-1][0][0] > band:
                 groups.append([])
             groups[-1].append(m)
-        seen: list[tuple[int, int]] = []
+        template, used = index.words[t], np.zeros(len(words), bool)
+        least, best = coverage * len(template), []
+
+        def push(diagonal: int) -> None:
+            if _most(template, words, diagonal, 2 * band, used) >= least:  # noqa: B023
+                score, matched, first, end = _align(template, words, diagonal, 2 * band, used)  # noqa: B023
+                if matched and matched >= least:  # noqa: B023
+                    heapq.heappush(best, (-score, first, end, matched, diagonal))  # noqa: B023
+
         for g in groups:
-            matched, first, end = align(index.words[t], words, (g[0][0] + g[-1][0]) // 2, 2 * band)
-            if matched >= coverage * len(index.words[t]) and not any(first < b and a < end for a, b in seen):
-                seen.append((first, end))
-                yield t, matched, first, end
+            push((g[0][0] + g[-1][0]) // 2)
+        places = []
+        while best:
+            _, first, end, matched, diagonal = heapq.heappop(best)
+            if not used[first:end].any():
+                used[first:end] = True
+                places.append((first, end, matched))
+            push(diagonal)
+        for first, end, matched in sorted(places):
+            yield t, matched, first, end
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = 0.8, band: int = BAND) -> DataFrame:

@@ -508,6 +508,19 @@ def test_license_scan(spark, empty):
     assert license_scan.scan(empty).count() == 0 and license_scan.scan(df, {}).count() == 0
 
 
+def places(text, templates=license_texts.TEMPLATES, name=None):
+    """Texts of the places of a template, or of all."""
+    index = license_scan.Index(templates)
+    words = text.lower().replace(".", " ").replace(",", " ").split()
+    return [" ".join(words[a:b]) for t, _, a, b in license_scan._found(index, license_scan.words_of(text), 0.8, license_scan.BAND) if name in (None, index.names[t])]
+
+
+def test_license_copies_side_by_side():
+    for gap in range(40):
+        line = "Released under the MIT License. " + "x " * gap
+        assert places(line * 100, name="notice-mit") == ["released under the mit license"] * 100, gap
+
+
 # 10
 
 
