@@ -521,6 +521,14 @@ def test_license_copies_side_by_side():
         assert places(line * 100, name="notice-mit") == ["released under the mit license"] * 100, gap
 
 
+@pytest.mark.parametrize("name", [x for x in license_texts.TEMPLATES if x.startswith("notice-")])
+def test_license_notices_with_changed_words(name):
+    words = license_texts.TEMPLATES[name].replace(".", " ").replace(",", " ").replace("-", " ").split()
+    for at in itertools.combinations(range(len(words)), len(words) - math.ceil(0.8 * len(words))):
+        changed = " ".join("other" if i in at else w for i, w in enumerate(words))
+        assert places(f"Before it. {changed}. After it.", name=name), changed
+
+
 # 10
 
 
