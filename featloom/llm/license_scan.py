@@ -128,17 +128,18 @@ def _found(index: Index, words: np.ndarray, coverage: float, band: int) -> Itera
                 by.setdefault(t, []).append((p - q, p))
     for t, marks in sorted(by.items()):
         marks.sort()
+        wide = max(band, len(index.words[t]) // 20)
         groups = [[marks[0]]]
         for m in marks[1:]:
-            if m[0] - groups[-1][0][0] > band:
+            if m[0] - groups[-1][0][0] > wide:
                 groups.append([])
             groups[-1].append(m)
         template, used = index.words[t], np.zeros(len(words), bool)
         least, best = coverage * len(template), []
 
         def push(diagonal: int) -> None:
-            if _most(template, words, diagonal, 2 * band, used) >= least:  # noqa: B023
-                score, matched, first, end = _align(template, words, diagonal, 2 * band, used)  # noqa: B023
+            if _most(template, words, diagonal, 2 * wide, used) >= least:  # noqa: B023
+                score, matched, first, end = _align(template, words, diagonal, 2 * wide, used)  # noqa: B023
                 if matched and matched >= least:  # noqa: B023
                     heapq.heappush(best, (-score, first, end, matched, diagonal))  # noqa: B023
 
@@ -159,6 +160,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
     """doc_id, license, matched, template_words, coverage, first_char, end_char: one row for each place where the words
     of a template lie to the given coverage. Offsets are in code points of the text, end exclusive.
 
+    The templates are those of license_texts, which says what they cover; one text may give rows of several of them. Paths
+    may stray by two bands, of a twentieth of the template's words where that is more than band.
+
     Null and empty texts and templates give no rows; a null doc_id stays; repeated rows give
     repeated results. Texts are taken whole, each for itself, without a shuffle."""
     index = Index(TEMPLATES if templates is None else templates, coverage)

@@ -1,5 +1,12 @@
-"""Templates of public licences and notices. Their wording is the licences' own."""
+"""Templates of public licences and notices. Their wording is the licences' own.
 
+Notices and headers stand here, whole licences in licenses/ (MIT, whole too, here): Apache 2.0, BSD of 2 and 3 clauses, CC0,
+CC BY and BY-SA 4.0, GPL 1 to 3, ISC, LGPL 2 to 3, MPL 1.1 and 2.0, Unlicense. Not covered as whole texts: AGPL and the NC
+and ND licences of CC, which may be found as their relatives (GPL 3, CC BY), and all others."""
+
+import pkgutil
+
+WHOLE = "apache-2 bsd-2 bsd-3 cc-by-4 cc-by-sa-4 cc0-1 gpl-1 gpl-2 gpl-3 isc lgpl-2 lgpl-2.1 lgpl-3 mpl-1.1 mpl-2 unlicense".split()
 TEMPLATES: dict[str, str] = {
     "notice-gpl-3": "This work is licensed under the GNU General Public License, version 3.",
     "notice-cc-by-nc-4": "Licensed under CC BY-NC 4.0.",
@@ -25,18 +32,4 @@ any later version. This program is distributed in the hope that it will be usefu
 the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more
 details. You should have received a copy of the GNU General Public License along with this program. If not, see
 <https://www.gnu.org/licenses/>.""",
-    "bsd-2": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that
-the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of
-conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice,
-this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
-distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
-WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE
-ARE DISCLAIMED.""",
-    "isc": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
-granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS
-PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
-MERCHANTABILITY AND FITNESS.""",
-    "unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify,
-publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any
-purpose, commercial or non-commercial, and by any means.""",
-}
+} | {name: pkgutil.get_data(__package__, f"licenses/{name}.txt").decode() for name in WHOLE}

@@ -515,6 +515,16 @@ def places(text, templates=license_texts.TEMPLATES, name=None):
     return [" ".join(words[a:b]) for t, _, a, b in license_scan._found(index, license_scan.words_of(text), 0.8, license_scan.BAND) if name in (None, index.names[t])]
 
 
+@pytest.mark.parametrize("name", ["apache-2", "bsd-3", "cc-by-4", "gpl-3", "mpl-2", "unlicense"])
+def test_license_whole_texts(name):
+    whole = license_texts.TEMPLATES[name]
+    index = license_scan.Index(license_texts.TEMPLATES)
+    words = license_scan.words_of(f"before it {whole} after it")
+    found = {index.names[t]: (matched, a, b) for t, matched, a, b in license_scan._found(index, words, 0.8, license_scan.BAND)}
+    assert found[name] == (len(words) - 4, 2, len(words) - 2) and "bsd-2" not in found
+    assert all("IN NO EVENT" in license_texts.TEMPLATES[x] for x in ("bsd-2", "isc", "unlicense"))
+
+
 def test_license_copies_side_by_side():
     for gap in range(40):
         line = "Released under the MIT License. " + "x " * gap
