@@ -127,6 +127,9 @@ def _found(index: Index, words: np.ndarray, coverage: float, band: int) -> Itera
             for t, q in index.places[k][gram]:
                 by.setdefault(t, []).append((p - q, p))
     for t, marks in sorted(by.items()):
+        least = coverage * len(index.words[t])
+        if len(words) < least or np.isin(index.words[t], words).sum() < least:
+            continue
         marks.sort()
         wide = max(band, len(index.words[t]) // 20)
         groups = [[marks[0]]]
@@ -135,7 +138,7 @@ def _found(index: Index, words: np.ndarray, coverage: float, band: int) -> Itera
                 groups.append([])
             groups[-1].append(m)
         template, used = index.words[t], np.zeros(len(words), bool)
-        least, best = coverage * len(template), []
+        best: list[tuple[int, int, int, int, int]] = []
 
         def push(diagonal: int) -> None:
             if _most(template, words, diagonal, 2 * wide, used) >= least:  # noqa: B023
