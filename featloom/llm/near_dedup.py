@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import FEW, SMALL_ROWS, cut, small_side
+from ..session import cut, small_side
 from .common import U64, documents, hashed_words, mix, windows
 
 WORDS = 5
@@ -101,22 +101,22 @@ def sketch(docs: DataFrame) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b) those whose full sets have 100 * intersection >= percent * union."""
+    """Of pairs (a, b) those of which some texts' full sets have 100 * intersection >= percent * union. Only texts that
+    stand in a pair are shuffled."""
     texts = documents(docs)
-    a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    a = texts.join(small_side(cut(pairs.select(F.col("a").alias("doc_id")).distinct())), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
+    b = texts.join(small_side(cut(pairs.select(F.col("b").alias("doc_id")).distinct())), "doc_id", "left_semi").select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = (None, None, None)
+        last, t = None, None  # pairs of one b come one after the other
         for batch in batches:
             at_a, at_b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             keep = []
             sets_b = hashed_words(batch.column("text_b"))
             for (i, words), (_, other) in zip(hashed_words(batch.column("text_a")), sets_b):
                 s = shingle_set(words)
-                if last[0] != at_b[i] or len(other) != last[1]:
-                    last = (at_b[i], len(other), shingle_set(other))
-                t = last[2]
+                if last is None or not np.array_equal(last, other):
+                    last, t = other.copy(), shingle_set(other)
                 both = len(np.intersect1d(s, t, assume_unique=True))
                 if both and 100 * both >= percent * (len(s) + len(t) - both):
                     keep.append(i)
@@ -201,73 +201,134 @@ def rest_links(members: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 
     task = ["key", "i", "j"]
     some = cut(members.repartition(*task).sortWithinPartitions(*task).mapInArrow(with_candidates, kinds))
-    texts = documents(docs).join(some.select("doc_id").distinct(), "doc_id", "left_semi")
+    texts = documents(docs).join(small_side(cut(some.select("doc_id").distinct())), "doc_id", "left_semi")
     return some.join(texts, "doc_id").select(*columns, "text").repartition(*task).sortWithinPartitions(*task).mapInArrow(confirmed, "a long, b long").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+#: Edges up to which one task works out the components of a graph (16 bytes each).
+SMALL_EDGES = 1 << 19
+
+
+def _solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, root of a whole graph of bounded size: each vertex takes the least root among its neighbours, roots hook to
+    roots and paths are halved, until nothing changes."""
+    parts = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches if b.num_rows]
+    if not parts:
+        return
+    ids, ends = np.unique(np.concatenate([x for p in parts for x in p]), return_inverse=True)
+    n = [len(p[0]) for p in parts]
+    starts = np.cumsum([0, *[2 * x for x in n]])
+    a = np.concatenate([ends[s : s + x] for s, x in zip(starts, n)])
+    b = np.concatenate([ends[s + x : s + 2 * x] for s, x in zip(starts, n)])
+    root = np.arange(len(ids))
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            break
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+    for at in range(0, len(ids), 10_000):
+        yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + 10_000], pa.int64()), pa.array(ids[root[at : at + 10_000]], pa.int64())], names=["id", "root"])
+
+
+def components(edges: DataFrame, small: int = SMALL_EDGES) -> DataFrame:
     """id, root (smallest id reachable) for every id on an edge (a, b).
 
-    Vertices hook to a neighbour and the graph is contracted, until no edge is left; every second round goes by random
-    ranks, so the number of rounds is logarithmic whatever the ids. Nothing is collected."""
+    Vertices hook to a neighbour and the graph is contracted; every second round goes by random ranks, so the number of
+    rounds is logarithmic whatever the ids. Once at most small edges are left, by count, one task ends it. Nothing is
+    collected."""
     left = cut(edges.where("a <> b").distinct())
+    n = left.count()
+    if n <= small:
+        return cut(left.coalesce(1).mapInArrow(_solved, "id long, root long"))
     ids = left.select(F.col("a").alias("id")).union(left.select("b")).distinct()
-    where = ids.select("id", F.col("id").alias("at"))
+    where = cut(ids.select("id", F.col("id").alias("at")))
     turn = 0
-    while n := left.count():
-        few = (lambda df: df.coalesce(FEW)) if n <= SMALL_ROWS else (lambda df: df)
-        left = few(left)
+    while n > small:
         both = left.union(left.select("b", "a"))
         rank = (lambda c: c) if turn % 2 == 0 else (lambda c: F.xxhash64(c, F.lit(turn)))
-        near = few(both.groupBy(F.col("a").alias("at")).agg(F.min(F.struct(rank(F.col("b")).alias("r"), F.col("b").alias("to"))).alias("m")))
+        near = both.groupBy(F.col("a").alias("at")).agg(F.min(F.struct(rank(F.col("b")).alias("r"), F.col("b").alias("to"))).alias("m"))
         to = small_side(cut(near.select("at", F.when(F.struct(rank(F.col("at")).alias("r"), F.col("at").alias("to")) < F.col("m"), F.col("at")).otherwise(F.col("m.to")).alias("to"))))
-        where = where.join(to, "at", "left").select("id", F.coalesce("to", "at").alias("at"))
+        where = cut(where.join(to, "at", "left").select("id", F.coalesce("to", "at").alias("at")))
         left = left.join(to.withColumnsRenamed({"at": "a", "to": "x"}), "a").join(to.withColumnsRenamed({"at": "b", "to": "y"}), "b")
-        left = cut(few(left.select(F.col("x").alias("a"), F.col("y").alias("b")).where("a <> b").distinct()))
+        left = cut(left.select(F.col("x").alias("a"), F.col("y").alias("b")).where("a <> b").distinct())
+        n = left.count()
         turn += 1
+    ends = small_side(cut(left.coalesce(1).mapInArrow(_solved, "id long, root long").withColumnsRenamed({"id": "at", "root": "end"})))
+    where = where.join(ends, "at", "left").select("id", F.coalesce("end", "at").alias("at"))
     smallest = where.groupBy("at").agg(F.min("id").alias("root"))
     return cut(where.join(smallest, "at").select("id", "root"))
 
 
+def _mixed(placed: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several components, dealt into blocks that meet in tasks.
+
+    placed: key, band, doc_id, root. A bucket's members of its most frequent component don't meet each other; the others
+    (stragglers) make blocks of their own, each of which meets itself, every other of them and every block of the frequent
+    component. So what is copied are the stragglers, by the number of blocks, and the rest by that of straggler blocks. A
+    bucket of at most MEMBERS rows is one block."""
+    by_root = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+    keys = by_root.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.max("c").alias("m"), F.sum("c").alias("n"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    blocks = lambda c: F.ceil(c / F.lit(MEMBERS)).cast("int")
+    one = F.col("n") <= MEMBERS
+    own = placed.join(cut(keys), "key").withColumn("bs", F.when(one, 1).otherwise(blocks(F.col("n") - F.col("m")))).withColumn("bl", F.when(one, 0).otherwise(blocks(F.col("m"))))
+    frequent = ~one & (F.col("root") == F.col("main"))
+    own = own.withColumn("block", F.when(frequent, F.col("bs") + F.pmod(F.xxhash64("doc_id"), F.col("bl"))).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("bs"))).cast("int"))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(frequent, F.col("bs")).otherwise(F.col("bs") + F.col("bl")) - 1)))
+    return own.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "band", "doc_id", "root")
+
+
 def clusters(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links, itself included), kept.
 
     Documents link if 100 * intersection >= percent * union of their sets of five-word shingles (words of anything but
-    ASCII white space, A-Z lower-cased). Null and empty texts have no set and are linked with nothing. Rows that repeat
-    a doc_id and its text are one document, returned as often; where the texts differ, each row goes by its own text.
-    A null doc_id is linked with nothing and has a null component, and is kept."""
+    ASCII white space, A-Z lower-cased). Null and empty texts have no set and are linked with nothing. A doc_id is one
+    vertex: rows that repeat it are returned as often, and where their texts differ it is linked with what any of them is
+    linked with. A null doc_id is linked with nothing and has a null component, and is kept. An empty table gives no rows;
+    other columns, whatever their names, go."""
     all_rows = cut(sketch(docs))
     rows = all_rows.where("doc_id is not null and sig is not null")
     classes = cut(rows.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sig", "rep"))
-    # a class of one is its own representative; of others the smallest doc_id stands for all
-    reps = cut(rows.join(small_side(classes), "sig", "left").where("rep is null or doc_id = rep").dropDuplicates(["doc_id", "sig"]).select("doc_id", "bands", "odd"))
+    classes = small_side(classes)
+    # a class of one is its own representative; of others the smallest doc_id stands for all, once
+    placed = rows.join(classes, "sig", "left")
+    alone = placed.where("rep is null").select("doc_id", "bands", "odd")
+    shown = placed.where("rep = doc_id").groupBy("sig", "doc_id").agg(F.first("bands").alias("bands"), F.first("odd").alias("odd"))
+    reps = cut(alone.unionByName(shown.select("doc_id", "bands", "odd")))
+    several = rows.groupBy("doc_id").agg(F.min("sig").alias("s0"), F.max("sig").alias("s1")).where("s0 <> s1").select("doc_id")
+    same = placed.select("doc_id", "rep").where("rep <> doc_id").join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     buckets = reps.select("doc_id", F.posexplode("bands").alias("band", "key"))
-    hubs = buckets.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
-    shared = cut(buckets.join(hubs, "key").select("key", "band", "doc_id", "lo", "hi", "n"))
+    hubs = buckets.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
+    shared = cut(buckets.join(hubs, "key").select("key", "band", "doc_id", "lo", "hi"))
     odd = reps.select("doc_id", "odd")
     # at first each member of a bucket against the bucket's smallest and largest, so many pairs as memberships at most
     ends = shared.select(F.col("doc_id").alias("a"), F.explode(F.array("lo", "hi")).alias("b")).where("a <> b")
     pairs = ends.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     pairs = pairs.join(odd.select(F.col("doc_id").alias("a"), F.col("odd").alias("odd_a")), "a").join(odd.select(F.col("doc_id").alias("b"), F.col("odd").alias("odd_b")), "b")
     different = F.aggregate(F.zip_with("odd_a", "odd_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    links = cut(confirm(cut(pairs.where(estimate(different) >= least_estimate(percent)).select("a", "b")), docs, percent))
-    roots = components(links)
+    links = cut(confirm(cut(pairs.where(estimate(different) >= least_estimate(percent)).select("a", "b").distinct()), docs, percent).union(same))
+    roots = small_side(components(links))
     # then all that still stand in different components of one bucket
-    placed = shared.join(small_side(roots).withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")
-    blocks = F.ceil(F.col("n") / MEMBERS).cast("int")
-    rest = placed.join(mixed, "key", "left_semi").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "band", "doc_id", "root")
-    more = cut(rest_links(rest.join(reps, "doc_id").select("key", "i", "j", "block", "band", "doc_id", "root", "bands", "odd"), docs, percent))
+    placed = shared.join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "band", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+    more = cut(rest_links(_mixed(placed).join(reps, "doc_id").select("key", "i", "j", "block", "band", "doc_id", "root", "bands", "odd"), docs, percent))
     if not more.isEmpty():
-        roots = components(links.union(more))
-    out = all_rows.select("doc_id", "n_shingles", "sig").join(small_side(classes), "sig", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
-    out = out.join(small_side(roots).withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
+        roots = small_side(components(links.union(more)))
+    out = all_rows.select("doc_id", "n_shingles", "sig").join(classes, "sig", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
+    out = out.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def deduplicated(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """The rows of docs without those whose doc_id isn't its component's smallest; all columns stay."""
-    gone = small_side(cut(clusters(docs, percent).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()))
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["gone_id"], "left_anti")
+    """One row of each component, that of its smallest doc_id; all columns stay, whatever their names.
+
+    Of rows that repeat that doc_id the one with the least text stays (null is least). Texts without words are components
+    of their own; rows with a null doc_id all stay. An empty table stays empty."""
+    found = cut(clusters(docs, percent).where("doc_id is not null").groupBy(F.col("doc_id").alias("found_id")).agg(F.min("kept").alias("one"), F.count(F.lit(1)).alias("n")).where("not one or n > 1"))
+    row = docs.select(F.struct("*").alias("row"))
+    same = F.col("row.doc_id").cast("long") == F.col("found_id")
+    rest = row.join(small_side(found.select("found_id")), same, "left_anti")
+    again = row.join(small_side(found.where("one")), same).groupBy("found_id").agg(F.min_by("row", F.coalesce(F.concat(F.lit("1"), F.col("row.text").cast("string")), F.lit("0"))).alias("row"))
+    return rest.unionByName(again.select("row")).select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -132,7 +132,7 @@ def test_near_dedup(docs, percent):
     got = sorted(tuple(r) for r in near_dedup.clusters(docs, percent).collect())
     assert got == brute_clusters(corpus(), percent) and sum(not r[3] for r in got) > 15
     kept = near_dedup.deduplicated(docs, percent)
-    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(i for i, *_, k in got if k)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted({i for i, *_, k in got if k})
 
 
 def test_near_dedup_of_one_large_group(spark, monkeypatch):
@@ -154,7 +154,33 @@ def test_near_dedup_nulls_and_nothing(spark, empty):
     df = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f")], "doc_id long, text string")
     assert sorted(near_dedup.clusters(df).collect(), key=str) == [(1, 2, 1, True), (None, 2, None, True)]
     chain = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
-    assert {r.id: r.root for r in near_dedup.components(chain).collect()} == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100}
+    for small in (0, 7, 1000):
+        assert {r.id: r.root for r in near_dedup.components(chain, small).collect()} == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100}
+
+
+def test_near_dedup_of_repeated_ids(spark):
+    """A doc_id is one vertex; of its rows one stays, the one with the least text."""
+    rng = random.Random(5)
+    a, c = (" ".join(rng.choice(VOCAB) + str(rng.randrange(9)) for _ in range(60)) for _ in range(2))
+    rows = [(3, a), (3, c), (5, a + " q"), (6, c + " q"), (1, a), (7, "alone and only here now"), (7, None), (8, c), (9, a), (9, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in near_dedup.clusters(df, 85).collect()) == brute_clusters([(i, t or "") for i, t in rows], 85)
+    clashing = df.selectExpr("doc_id", "text", "1 AS found_id", "2 AS row", "3 AS one", "4 AS rep")
+    kept = near_dedup.deduplicated(clashing, 85)
+    assert kept.columns == clashing.columns and sorted(tuple(r)[:2] for r in kept.collect()) == [(1, a), (7, None)]
+
+
+def test_sketch_filter_loses_no_link():
+    """Recall of the filter by odd sketches over pairs just at the threshold."""
+    import numpy as np
+
+    rng, lost, n = np.random.default_rng(2), 0, 400
+    most = near_dedup.BITS / 2 * (1 - np.exp((near_dedup.least_estimate(85) - 1) * 4 * near_dedup.SAMPLES / near_dedup.BITS))
+    for _ in range(n):
+        shared = rng.integers(0, 1 << 63, 340, dtype=np.uint64)
+        x, y = (near_dedup.odd_sketch(near_dedup.samples(np.concatenate([shared, rng.integers(0, 1 << 63, 30, dtype=np.uint64)]))).view(np.uint64) for _ in range(2))
+        lost += int(np.bitwise_count(x ^ y).sum()) > most
+    assert lost == 0
 
 
 def test_odd_sketch_is_precise():
