@@ -1,10 +1,14 @@
 """Benchmark decontamination by a BM25 index of the test items and block-max WAND.
 
-Items (split where they are long) are documents of a small inverted index; every passage of every training text is a
-query. An entry's impacts are divided by the score it gives itself, so that one threshold serves all. Items are dealt
-into aligned blocks; the sum of a passage's block maxima bounds what any item of the block can score, and only blocks
-whose bound reaches the threshold are opened and scored exactly. Everything at or above the threshold is retrieved and
-then verified: the five-word shingles of the item's question and of its answer must lie in the text around the passage.
+Items (split where they are long) are documents of an inverted index; every passage of every training text is a query. An
+entry's impacts are divided by the score it gives itself, so that one threshold serves all. Items are dealt into aligned
+blocks; each term has postings of the blocks that have it, with its largest impact there, and its largest impact of all.
+
+A passage's terms are ordered by that largest impact. Those before the pivot, whose impacts add up to less than the
+threshold, can't lift any item over it by themselves; so only the blocks of the terms from the pivot on are looked at, and
+of these only the ones whose maxima, with all that lies before the pivot, reach the threshold are opened and scored
+exactly. Everything at or above the threshold is retrieved and then verified: the five-word shingles of the item's
+question and of its answer must lie in the text around the passage.
 """
 
 from __future__ import annotations
@@ -25,8 +29,8 @@ ALNUM = np.zeros(256, bool)
 ALNUM[48:58] = ALNUM[65:91] = ALNUM[97:123] = ALNUM[128:] = True
 BLOCK = 8
 K1, B = 1.2, 0.75
-#: Items of one index; more items are taken in so many passes over the texts.
-SHARD_ITEMS, SHARD_BYTES = 1000, 4 << 20
+#: Bytes of an index, which each Python worker holds; more items are taken in several passes over the texts.
+INDEX_BYTES = 128 << 20
 LONGEST = 256
 
 
@@ -47,11 +51,43 @@ def _shingles(words: np.ndarray, n: int = 5) -> np.ndarray:
     return np.unique(windows(words, min(n, len(words)))) if len(words) else words
 
 
+def _entries(text: str) -> list[np.ndarray]:
+    words = _hashes(text)
+    return [words[at : at + LONGEST] for at in range(0, len(words), LONGEST)]
+
+
+class Statistics:
+    """Of all entries, before the items are dealt to indexes: df of terms, number, mean and largest length."""
+
+    def __init__(self) -> None:
+        self.terms, self.df = np.empty(0, U64), np.empty(0, np.int64)
+        self.n = self.words = 0
+        self.longest = 32
+
+    def add(self, texts: list[str]) -> None:
+        entries = [e for t in texts for e in _entries(t)]
+        if entries:
+            terms = np.concatenate([self.terms, *(np.unique(e) for e in entries)])
+            weight = np.concatenate([self.df, np.ones(len(terms) - len(self.terms), np.int64)])
+            self.terms, place = np.unique(terms, return_inverse=True)
+            self.df = np.bincount(place, weights=weight).astype(np.int64)
+            self.n += len(entries)
+            self.words += sum(map(len, entries))
+            self.longest = max(self.longest, *map(len, entries))
+
+    def idf(self, terms: np.ndarray) -> np.ndarray:
+        df = self.df[np.searchsorted(self.terms, terms)]
+        return np.log(1 + (self.n - df + 0.5) / (df + 0.5))
+
+
 class Index:
-    """entries: (item_id, text) of items that have a word."""
+    """entries: (item_id, text) of items that have a word; their scores don't depend on which others are here."""
 
-    def __init__(self, entries: list[tuple[int, str]], threshold: float):
-        self.threshold = threshold
+    def __init__(self, entries: list[tuple[int, str]], threshold: float, known: Statistics | None = None):
+        if known is None:
+            known = Statistics()
+            known.add([t for _, t in entries])
+        self.threshold, self.half = threshold, known.longest
         self.items = []
         docs, self.owner = [], []
         for item, text in entries:
@@ -62,31 +98,27 @@ class Index:
             if not len(q) or not len(a):
                 q = a = words
             self.items.append((item, len(words), min(5, len(q)), _shingles(q), min(5, len(a)), _shingles(a)))
-            for at in range(0, len(words), LONGEST):
-                docs.append(words[at : at + LONGEST])
+            for d in _entries(text):
+                docs.append(d)
                 self.owner.append(len(self.items) - 1)
-        self.half = max([32, *(len(d) for d in docs)])
         self.terms = np.unique(np.concatenate(docs)) if docs else np.empty(0, U64)
-        n, v = len(docs), len(self.terms)
-        self.n_blocks = max(1, -(-n // BLOCK))
-        tf = [np.unique(np.searchsorted(self.terms, d), return_counts=True) for d in docs]
-        df = np.bincount(np.concatenate([t for t, _ in tf]), minlength=v) if docs else np.zeros(0)
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        mean = np.mean([len(d) for d in docs]) if docs else 1
-        self.bound = np.zeros((v, self.n_blocks), np.float32)
-        self.row = np.zeros((v, self.n_blocks), np.int32)
-        weights = [np.zeros(BLOCK, np.float32)]
-        for i, (t, c) in enumerate(tf):
-            w = idf[t] * c * (K1 + 1) / (c + K1 * (1 - B + B * len(docs[i]) / mean))
-            w = (w / w.sum()).astype(np.float32)
-            block, slot = divmod(i, BLOCK)
-            for term, x in zip(t, w):
-                if not self.row[term, block]:
-                    self.row[term, block] = len(weights)
-                    weights.append(np.zeros(BLOCK, np.float32))
-                weights[self.row[term, block]][slot] = x
-            self.bound[t, block] = np.maximum(self.bound[t, block], w)
-        self.weights = np.array(weights)
+        v = len(self.terms)
+        self.n_blocks = max(1, -(-len(docs) // BLOCK))
+        idf, mean = known.idf(self.terms) if docs else np.empty(0), known.words / max(known.n, 1)
+        key, slot, weight = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.float32)]
+        for i, d in enumerate(docs):
+            t, c = np.unique(np.searchsorted(self.terms, d), return_counts=True)
+            w = idf[t] * c * (K1 + 1) / (c + K1 * (1 - B + B * len(d) / mean))
+            key.append(t * self.n_blocks + i // BLOCK)
+            slot.append(np.full(len(t), i % BLOCK))
+            weight.append((w / w.sum()).astype(np.float32))
+        # postings by (term, block): the impacts of the block's entries and the largest of them
+        self.keys, at = np.unique(np.concatenate(key), return_inverse=True)
+        self.weights = np.zeros((len(self.keys) + 1, BLOCK), np.float32)
+        self.weights[at, np.concatenate(slot)] = np.concatenate(weight)
+        self.most = self.weights[:-1].max(axis=1) if len(self.keys) else np.empty(0, np.float32)
+        self.first = np.searchsorted(self.keys, np.arange(v + 1) * self.n_blocks)
+        self.top = np.maximum.reduceat(self.most, self.first[:-1]) if v else np.empty(0, np.float32)
         # terms by an address of 16 bits of their hash; those that share one go to a next level with other bits
         self.levels, left = [], np.arange(v)
         while len(left) and len(self.levels) < 6:
@@ -124,41 +156,48 @@ class Index:
         t = self.term_of(words)
         count = np.diff(row)
         halves = -(-count // self.half)
-        base = np.concatenate(([0], np.cumsum(halves)))
-        text = np.repeat(np.arange(len(count)), count)
-        half = base[text] + (np.arange(len(words)) - row[text]) // self.half
-        known = t >= 0
-        if not known.any():
+        passages = np.where(halves > 0, np.maximum(halves - 1, 1), 0)
+        base = np.concatenate(([0], np.cumsum(passages)))
+        known = np.flatnonzero(t >= 0)
+        if not len(known):
             return
-        v = len(self.terms)
-        key = np.unique(half[known] * v + t[known])
-        h, t = np.divmod(key, v)
-        at = np.searchsorted(h, np.arange(base[-1] + 1))
-        some = np.flatnonzero(at[:-1] < at[1:])
-        bound = np.zeros((base[-1], self.n_blocks), np.float32)
-        bound[some] = np.add.reduceat(self.bound[t], at[some], axis=0)
-        owner = np.repeat(np.arange(len(count)), halves)
-        paired = np.flatnonzero(owner[:-1] == owner[1:])
-        both = bound.copy()
-        both[paired] += bound[paired + 1]
-        passage_end = at[1:].copy()
-        passage_end[paired] = at[paired + 2]
-        whole = np.ones(len(both), bool)
-        whole[paired + 1] = False
-        whole[paired] = True  # the last half of several is covered by the passage before it
-        p, block = np.nonzero((both >= self.threshold - 1e-4) & whole[:, None])
-        # opened blocks: scores with a term of both halves counted twice, then exact ones of what reaches the threshold
-        size = passage_end[p] - at[p]
-        for part in range(0, len(p), 4096):
-            n = size[part : part + 4096]
+        v, least = len(self.terms), self.threshold - 1e-4
+        text = np.searchsorted(row, known, "right") - 1
+        half = (known - row[text]) // self.half
+        t = t[known]
+        before, here = half >= 1, half < passages[text]
+        key = np.concatenate([((base[text] + half) * v + t)[here], ((base[text] + half - 1) * v + t)[before]])
+        p, t = np.divmod(np.unique(key), v)
+        # the pivot: terms by their largest impact, the least first, up to where they could reach the threshold
+        order = np.lexsort((self.top[t], p))
+        p, t = p[order], t[order]
+        at = np.searchsorted(p, np.arange(base[-1] + 1))
+        total = np.concatenate(([0.0], np.cumsum(self.top[t], dtype=np.float64)))
+        essential = total[1:] - total[at[p]] >= least
+        if not essential.any():
+            return
+        under = np.bincount(p[~essential], weights=self.top[t[~essential]], minlength=base[-1])
+        e = np.flatnonzero(essential)
+        n = self.first[t[e] + 1] - self.first[t[e]]
+        posting = np.repeat(self.first[t[e]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        found, place = np.unique(np.repeat(p[e], n) * self.n_blocks + self.keys[posting] % self.n_blocks, return_inverse=True)
+        bound = np.bincount(place, weights=self.most[posting])
+        fp, block = np.divmod(found, self.n_blocks)
+        some = np.flatnonzero(bound + under[fp] >= least)
+        owner = np.repeat(np.arange(len(count)), passages)
+        for part in range(0, len(some), 4096):
+            c = some[part : part + 4096]
+            q, b = fp[c], block[c]
+            n = at[q + 1] - at[q]
             ends = np.cumsum(n)
-            pairs = np.arange(ends[-1]) + np.repeat(at[p[part : part + 4096]] - (ends - n), n)
-            bounds = np.add.reduceat(self.weights[self.row[t[pairs], np.repeat(block[part : part + 4096], n)]], ends - n, axis=0)
-            for c in (part + np.flatnonzero((bounds >= self.threshold - 1e-4).any(axis=1))).tolist():
-                i, b = int(p[c]), int(block[c])
-                score = self.weights[self.row[np.unique(t[at[i] : passage_end[i]]), b]].sum(axis=0)
-                for slot in np.flatnonzero(score >= self.threshold):
-                    yield int(owner[i]), b * BLOCK + int(slot), int((i - base[owner[i]]) * self.half), float(score[slot])
+            terms = t[np.repeat(at[q] - (ends - n), n) + np.arange(ends[-1])]
+            wanted = terms * self.n_blocks + np.repeat(b, n)
+            x = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+            x = np.where(self.keys[x] == wanted, x, len(self.keys))
+            score = np.round(np.add.reduceat(self.weights[x].astype(np.float64), ends - n, axis=0), 6)
+            for i, slot in zip(*(z.tolist() for z in np.nonzero(score >= self.threshold))):
+                d = int(owner[q[i]])
+                yield d, int(b[i]) * BLOCK + slot, int((q[i] - base[d]) * self.half), float(score[i, slot])
 
     def verified(self, words: np.ndarray, item: int, first: int) -> tuple[float, float]:
         """Shares of the question's and the answer's shingles that lie around the passage at first."""
@@ -168,35 +207,45 @@ class Index:
         return share(q, qn), share(a, an)
 
 
-def _shards(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    shard, size = [], 0
+def _rows(benchmark: DataFrame) -> Iterator[tuple[int, str]]:
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct().orderBy("item_id", "text")
-    for r in rows.toLocalIterator():
-        if shard and (len(shard) >= SHARD_ITEMS or size + len(r.text) > SHARD_BYTES):
-            yield shard
-            shard, size = [], 0
-        shard.append((r.item_id, r.text))
-        size += len(r.text)
-    yield shard
+    return ((r.item_id, r.text) for r in rows.toLocalIterator())
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.8) -> DataFrame:
-    """doc_id, item_id, score, question_overlap, answer_overlap: one row for each document and item found in it.
+def _indexes(benchmark: DataFrame, threshold: float, most: int) -> Iterator[Index]:
+    """Indexes of at most about most bytes each (a word has a posting of 64 bytes at most, and 24 bytes of shingles)."""
+    known, texts, size = Statistics(), [], 0
+    for _, text in _rows(benchmark):
+        texts.append(text)
+        if len(texts) >= 1000:
+            known.add(texts)
+            texts = []
+    known.add(texts)
+    shard: list[tuple[int, str]] = []
+    for item, text in _rows(benchmark):
+        n = 88 * len(_hashes(text))
+        if shard and size + n > most:
+            yield Index(shard, threshold, known)
+            shard, size = [], 0
+        shard.append((item, text))
+        size += n
+    yield Index(shard, threshold, known)
+
 
-    score is the best passage's BM25 score as a share of the item's own. An index holds at most SHARD_ITEMS items or
-    SHARD_BYTES of text and goes to the tasks with their code; more items mean more passes over the texts, so what is
-    sent stays bounded. Null and empty texts, items without a word, and an empty benchmark give no rows; rows with a
-    null doc_id or item_id do; a repeated document row gives repeated rows; equal items count once."""
-    kinds = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
-    texts = documents(docs)
+def _hits(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.8, index_bytes: int | None = None) -> DataFrame:
+    """hits with h, the hash of the text."""
+    kinds = "doc_id long, h long, item_id long, score double, question_overlap double, answer_overlap double"
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+    texts = documents(docs).withColumn("h", F.xxhash64("text"))
     out = None
-    for shard in _shards(benchmark):
-        index = Index(shard, threshold)
+    for index in _indexes(benchmark, threshold, INDEX_BYTES if index_bytes is None else index_bytes):
+        sent = docs.sparkSession.sparkContext.broadcast(index)
 
-        def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            index = sent.value
             for batch in batches:
                 found: list[tuple] = []
-                ids = batch.column("doc_id")
+                ids, hashes = batch.column("doc_id"), batch.column("h")
                 for start, _, raw, offsets in passes(batch.column("text")):
                     starts, ends, row = word_spans(raw, offsets, ALNUM)
                     if not len(starts):
@@ -208,16 +257,32 @@ def hits(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap:
                         q, a = index.verified(words[row[text] : row[text + 1]], item, first)
                         if q >= overlap and a >= overlap:
                             best[text, item] = max(best.get((text, item), (0.0, 0.0, 0.0)), (score, q, a))
-                    found += [(ids[start + text].as_py(), index.items[item][0], *x) for (text, item), x in sorted(best.items())]
-                cols = list(zip(*found)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64()] + [pa.float64()] * 3)], names=[x.split()[0] for x in kinds.split(", ")])
+                    found += [(ids[start + text].as_py(), hashes[start + text].as_py(), index.items[item][0], *x) for (text, item), x in sorted(best.items())]
+                cols = list(zip(*found)) or [()] * len(types)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=[x.split()[0] for x in kinds.split(", ")])
 
         one = texts.mapInArrow(run, kinds)
         out = one if out is None else out.unionByName(one)
     return out
 
 
+def hits(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.8, index_bytes: int | None = None) -> DataFrame:
+    """doc_id, item_id, score, question_overlap, answer_overlap: one row for each document and item found in it.
+
+    score is the best passage's BM25 score as a share of the item's own, by document frequencies and lengths over all
+    items. The driver reads the items twice and holds their document frequencies; an index of them goes to each executor
+    once, as a broadcast, and holds so many items as index_bytes (INDEX_BYTES) allow, about 30,000 of 50 words. More items
+    are more passes over the texts, with the same scores. Null and empty texts, items without a word, and an empty table
+    of either kind give no rows; rows with a null doc_id or item_id do; a repeated document row gives repeated rows; equal
+    items count once; other columns, whatever their names, go."""
+    return _hits(docs, benchmark, threshold, overlap, index_bytes).drop("h")
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of docs in which no item is found; all columns stay. A null doc_id stays."""
-    bad = small_side(cut(hits(docs, benchmark, **options).select(F.col("doc_id").alias("bad_id")).distinct()))
-    return docs.join(bad, docs["doc_id"].cast("long") == bad["bad_id"], "left_anti")
+    """The rows of docs in which no item is found; all columns stay, whatever their names. Each row goes by its own text,
+    also where a doc_id repeats or is null."""
+    bad = small_side(cut(_hits(docs, benchmark, **options).select(F.col("doc_id").alias("bad_id"), F.col("h").alias("bad_h")).distinct()))
+    row = docs.select(F.struct("*").alias("row"))
+    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
+    same = F.col("row.doc_id").cast("long").eqNullSafe(F.col("bad_id")) & (F.xxhash64(text) == F.col("bad_h"))
+    return row.join(bad, same, "left_anti").select(*[F.col("row")[c].alias(c) for c in docs.columns])
