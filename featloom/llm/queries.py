@@ -16,7 +16,7 @@ def op1_chat_formatting(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.range(2).selectExpr("-1L AS conv_id", "id AS turn", "IF(id = 0, 'user', 'assistant') AS role", "'</s>[INST] ok [/INST]' AS text")
     template = chat.BracketTemplate()
-    return chat.digests(chat.format_turns(rows.unionByName(more), template, context=8), template)
+    return chat.digests(chat.format_turns(rows.unionByName(more), template), template)
 
 
 def op2_near_dedup(spark, sf_dir):
@@ -36,10 +36,12 @@ def op5_bpe(spark, sf_dir):
 
 
 def op6_line_dedup(spark, sf_dir):
-    rest = line_dedup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Per document what is left when later copies of runs of 50 words and more are deleted, and which lines (from 0) go."""
+    rest = line_dedup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=50)
     deleted = F.coalesce(F.aggregate("spans", F.lit(0), lambda n, s: n + s["last"] - s["first"] + 1), F.lit(0))
     text = F.coalesce("text", F.lit(""))
-    return rest.select("doc_id", deleted.cast("long").alias("n_deleted_lines"), F.length(text).cast("long").alias("n_chars_left"), F.sha2(text, 256).alias("text_sha256"), "spans")
+    spans = F.coalesce(F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["first"].cast("string"), s["last"].cast("string"))), ","), F.lit(""))
+    return rest.select("doc_id", deleted.cast("long").alias("n_deleted_lines"), F.length(text).cast("long").alias("n_chars_left"), F.sha2(text, 256).alias("text_sha256"), spans.alias("spans"))
 
 
 def op7_quality_rules(spark, sf_dir):
@@ -72,4 +74,4 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || t || c
 FROM f GROUP BY conv_id
 """
 
-ORACLES: dict[str, str] = {"op1_chat_formatting": OP1_ORACLE, "op4_lm_score": lm_score.ORACLE, "op7_quality_rules": quality_rules.ORACLE}
+ORACLES: dict[str, str] = {"op1_chat_formatting": OP1_ORACLE, "op4_lm_score": lm_score.ORACLE, "op6_line_dedup": line_dedup.ORACLE, "op7_quality_rules": quality_rules.ORACLE}

@@ -72,14 +72,13 @@ def test_chat_round_trip(spark):
     want = collections.defaultdict(list)
     for r in sorted(df.collect(), key=lambda r: (r.turn is not None, r.turn or 0, r.role or "", r.text or "")):
         want[r.conv_id].append((r.role or "", r.text or ""))
-    for context in (None, 2):
-        got = {r.conv_id: r for r in chat.digests(chat.format_turns(df, template, context), template).collect()}
-        assert set(got) == set(want)
-        for c, turns in want.items():
-            loss = "".join(t for role, t in turns if role == "assistant")
-            assert got[c].n_turns == len(turns) and got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
-            assert got[c].loss_chars == len(loss) and got[c].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
-            assert got[c].formatted_chars == len(template(turns)) and not got[c].rewrites
+    got = {r.conv_id: r for r in chat.digests(chat.format_turns(df, template), template).collect()}
+    assert set(got) == set(want)
+    for c, turns in want.items():
+        loss = "".join(t for role, t in turns if role == "assistant")
+        assert got[c].n_turns == len(turns) and got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+        assert got[c].loss_chars == len(loss) and got[c].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+        assert got[c].formatted_chars == len(template(turns)) and not got[c].rewrites
     whole = {r.conv_id: r for r in chat.formatted(chat.format_turns(df, template)).collect()}
     for c, turns in want.items():
         assert whole[c].formatted == template(turns) and template.read(whole[c].formatted) == turns
@@ -102,7 +101,35 @@ def test_chat_finds_templates_that_rewrite_history(spark):
         return "".join(f"{r}:{t if i == len(turns) - 1 else t[:1]};" for i, (r, t) in enumerate(turns))
 
     got = chat.format_turns(conversations(spark), forgetful).where("conv_id = 1").orderBy("position").collect()
-    assert [r.rewrites for r in got] == [False, True, True] and [r.begin for r in got][1] == -1
+    assert [r.rewrites for r in got] == [False, True, True] and got[1].in_loss
+    whole = {r.conv_id: r for r in chat.formatted(chat.format_turns(conversations(spark), forgetful)).collect()}[1]
+    assert whole.rewrites and whole.formatted == forgetful([("user", "hi"), *[("assistant", "a <s> b </s> [INST]")] * 2])
+    assert [s.in_loss for s in whole.spans] == [False, False, True] and whole.formatted[whole.spans[2].start : whole.spans[2].stop] == "a <s> b </s> [INST]"
+
+
+def dropping():
+    """Leaves out the oldest turns once there are more than nine."""
+    template = chat.BracketTemplate()
+    return lambda turns: template(turns[-9:])
+
+
+def test_chat_renders_whole_prefixes(spark):
+    turns = [("user" if k % 2 == 0 else "assistant", f"turn {k}") for k in range(14)]
+    assert [p.rewrites for p in chat.pieces(dropping(), turns)] == [False] * 9 + [True] * 5
+    df = spark.createDataFrame([(1, k, *x) for k, x in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    got = chat.digests(chat.format_turns(df, dropping()), chat.BracketTemplate()).first()
+    last, loss = turns[-9:], "".join(x for r, x in turns if r == "assistant" and (r, x) in turns[-9:])
+    assert got.rewrites and got.n_turns == 9 and got.turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in last).encode()).hexdigest()
+    assert got.formatted_chars == len(chat.BracketTemplate()(last)) and got.loss_chars <= len(loss)
+
+
+@pytest.mark.parametrize("template", [chat.BracketTemplate(), dropping(), lambda turns: f"{len(turns)}" + "".join(t for _, t in turns), lambda turns: "".join(f"{k}:{t};" for k, (_, t) in enumerate(turns))])
+def test_chat_windows_equal_whole_prefixes(template):
+    """Where windows don't tell all, whole prefixes do: drops, counts at the front, numbered turns."""
+    turns = [("user" if k % 3 else "assistant", f"<s> text {k % 5} of {k}") for k in range(70)]
+    every = chat.pieces(template, turns, whole=1000)
+    for whole in (1, 8, 16):
+        assert chat.pieces(template, turns, whole=whole, window=3) == every
 
 
 # 2
@@ -376,18 +403,15 @@ def brute_lines(rows, min_words):
                 while x + k < n and places[x + k] and places[y + k] and symbols[x + k] == symbols[y + k]:
                     k += 1
                 lpf[x] = max(lpf[x], k)
-    gone, run = collections.defaultdict(list), None
-    runs = []
+    gone, runs = collections.defaultdict(list), []
     for x in range(n):
-        if lpf[x]:
-            if run and x < run[1]:
-                run[1] = max(run[1], x + lpf[x])
+        if sum(size[x : x + lpf[x]]) >= min_words and lpf[x]:
+            if runs and x <= runs[-1][1]:
+                runs[-1][1] = max(runs[-1][1], x + lpf[x])
             else:
-                run = [x, x + lpf[x]]
-                runs.append(run)
+                runs.append([x, x + lpf[x]])
     for a, b in runs:
-        if sum(size[a:b]) >= min_words:
-            gone[places[a][0]].append((places[a][1], places[b - 1][1]))
+        gone[places[a][0]].append((places[a][1], places[b - 1][1]))
     return gone
 
 
@@ -417,6 +441,30 @@ def test_line_dedup(spark, empty, seed):
     assert line_dedup.without_repeats(empty).count() == 0 and line_dedup.cleaned(empty).count() == 0
 
 
+def test_line_dedup_joins_no_short_runs(spark):
+    """Two repeated runs of 40 words that share a line are no run of 60."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(20)) for x in "abc")
+    df = spark.createDataFrame([(1, f"{a}\n{b}"), (2, f"{b}\n\n{c}"), (3, f"{a}\n{b}\n{c}"), (4, f"{a}\n{b}\n{c}"), (5, f"x\n{b}\n{c}\n")], "doc_id long, text string")
+    assert {r.doc_id: r.spans for r in line_dedup.without_repeats(df, 50).collect() if r.spans} == {4: [(0, 2)]}
+    assert {r.doc_id: r.spans for r in line_dedup.without_repeats(df, 40).collect() if r.spans} == {3: [(0, 2)], 4: [(0, 2)], 5: [(1, 2)]}
+    assert sorted((r.doc_id, r.j, r.n_lines, r.copies) for r in line_dedup.intervals(df, 40).collect()) == [(1, 0, 2, 3), (2, 0, 2, 4)]
+
+
+def test_shortest_runs():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        sizes = [rng.integers(0, 5, rng.integers(0, 8)) for _ in range(3)]
+        least = int(rng.integers(1, 9))
+        n1, n2 = line_dedup.shortest(np.concatenate(sizes), np.cumsum([0, *map(len, sizes)]), least)
+        at = 0
+        for w in sizes:
+            runs = {(s, e) for s in range(len(w)) for e in range(s + 1, len(w) + 1) if w[s:e].sum() >= least and (w[s : e - 1].sum() < least or w[s + 1 : e].sum() < least)}
+            assert {(s, s + n) for s in range(len(w)) if n1[at + s] for n in range(n1[at + s], n2[at + s] + 1)} == runs
+            at += len(w)
+
+
 # 7
 
 
@@ -568,7 +616,7 @@ def test_license_notices_with_changed_words(name):
 # 10
 
 
-def test_decontamination(spark, empty, docs, monkeypatch):
+def test_decontamination(spark, empty, docs):
     rng = random.Random(8)
     unique = [f"q{i}z{rng.randrange(10**6)}" for i in range(400)]
     items = [(i, " ".join(rng.sample(unique, rng.randint(12, 40))) + ". " + " ".join(rng.sample(unique, rng.randint(1, 9))) + ".") for i in range(25)] + [(90, None), (91, ""), (92, "... "), (93, " ".join(rng.sample(unique, 390)))]
@@ -581,17 +629,19 @@ def test_decontamination(spark, empty, docs, monkeypatch):
     rows += [(2000, items[0][1].split(". ")[0]), (2001, " ".join(reversed(items[1][1].split()))), (None, items[2][1]), (1000, next(t for i, t in rows if i == 1000))]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("bad_id", "item_id", "score")})
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(1))
-    for shard in (1000, 10):
-        monkeypatch.setattr(decontaminate, "SHARD_ITEMS", shard)
-        got = [(r.doc_id, r.item_id) for r in decontaminate.hits(df, bench).collect()]
-        assert collections.Counter(got) == collections.Counter([*planted, planted[0], (None, 2)])
+    whole = decontaminate.hits(df, bench).collect()
+    assert collections.Counter((r.doc_id, r.item_id) for r in whole) == collections.Counter([*planted, planted[0], (None, 2)])
+    assert sorted(map(str, decontaminate.hits(df, bench, index_bytes=20_000).collect())) == sorted(map(str, whole))
     kept = decontaminate.clean(df, bench)
-    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i, _ in rows} - {i for i, _ in planted}
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i, _ in rows if i is not None} - {i for i, _ in planted}
+    same_id = df.where("doc_id = 1001").unionByName(df.where("doc_id = 3").withColumn("doc_id", F.lit(1001).cast("long")))
+    assert [r.text for r in decontaminate.clean(same_id, bench).collect()] == [r.text for r in df.where("doc_id = 3").collect()]
     assert decontaminate.hits(empty, bench).count() == 0 and decontaminate.hits(df, bench.limit(0)).count() == 0
 
 
-def test_block_maxima_lose_nothing():
-    """Retrieval against BM25 scored in full."""
+@pytest.mark.parametrize("threshold", [0.2, 0.4, 0.7])
+def test_pivots_and_blocks_lose_nothing(threshold):
+    """Retrieval against BM25 scored in full, by one index and by several; scores are the same."""
     import numpy as np
     import pyarrow as pa
 
@@ -599,22 +649,37 @@ def test_block_maxima_lose_nothing():
 
     rng = random.Random(9)
     items = [(i, " ".join(rng.choice(VOCAB[:36]) for _ in range(rng.randint(3, 30)))) for i in range(40)]
-    index = decontaminate.Index(items, 0.4)
+    words_in = [re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", t.lower()) for _, t in items]
+    df = collections.Counter(w for d in words_in for w in set(d))
+    mean, n = sum(map(len, words_in)) / len(items), len(items)
+
+    def impacts(d):
+        c = collections.Counter(d)
+        w = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * k * 2.2 / (k + 1.2 * (0.25 + 0.75 * len(d) / mean)) for t, k in c.items()}
+        return {t: x / sum(w.values()) for t, x in w.items()}
+
+    tables = [impacts(d) for d in words_in]
     texts = [" ".join(rng.choice(VOCAB[:36]) for _ in range(rng.randint(0, 200))) for _ in range(30)]
-    for _, _, raw, offsets in passes(pa.array(texts)):
-        starts, ends, row = word_spans(raw, offsets, decontaminate.ALNUM)
-        words = word_hashes(raw, starts, ends)
-        got = {(t, e, f) for t, e, f, _ in index.retrieve(words, row)}
-    want = set()
-    for t in range(len(texts)):
-        w = words[row[t] : row[t + 1]]
-        for f in range(0, max(len(w) - index.half, 1) if len(w) else 0, index.half):
-            terms = np.unique(index.term_of(w[f : f + 2 * index.half]))
-            terms = terms[terms >= 0]
-            for e in range(len(index.owner)):
-                if index.weights[index.row[terms, e // 8], e % 8].sum() >= 0.4:
-                    want.add((t, e, f))
-    assert got == want and want
+    want = {}
+    for t, x in enumerate(texts):
+        w = re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", x.lower())
+        for f in range(0, max(len(w) - 32, 1) if w else 0, 32):
+            terms = set(w[f : f + 64])
+            for e, table in enumerate(tables):
+                score = sum(v for k, v in table.items() if k in terms)
+                if score >= threshold:
+                    want[t, e, f] = score
+    known = decontaminate.Statistics()
+    known.add([t for _, t in items])
+    for shard in (40, 7):
+        got = {}
+        for at in range(0, 40, shard):
+            index = decontaminate.Index(items[at : at + shard], threshold, known)
+            for _, _, raw, offsets in passes(pa.array(texts)):
+                starts, ends, row = word_spans(raw, offsets, decontaminate.ALNUM)
+                got |= {(t, at + e, f): s for t, e, f, s in index.retrieve(word_hashes(raw, starts, ends), row)}
+        near = {k for k, v in want.items() if abs(v - threshold) < 1e-5}
+        assert set(got) - near == set(want) - near and want and all(abs(got[k] - want[k]) < 1e-5 for k in set(got) & set(want))
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
