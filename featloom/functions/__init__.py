@@ -105,6 +105,27 @@ def is_categorical(c: Column) -> Column:
     return F.ceil(c) == c
 
 
+#: Of the hash by plain arithmetic.
+MODULUS, STEPS = 1 << 31, ((1103515245, 15), (1664525, 13), (1013904223, 16))
+
+
+def mix31(c: Column) -> Column:
+    """A hash of a whole number from 0 to 2**31 - 1, by multiplications modulo 2**31 and shifts, which any SQL can repeat."""
+    x = F.pmod(c.cast("long"), F.lit(2147483647).cast("long"))
+    for factor, shift in STEPS:
+        x = F.pmod((x + 1) * F.lit(factor).cast("long"), F.lit(MODULUS).cast("long"))
+        x = x.bitwiseXOR(F.shiftright(x, shift))
+    return x
+
+
+def mix31_sql(value: str) -> str:
+    """The same in SQL."""
+    x = f"((({value}) % 2147483647 + 2147483647) % 2147483647)"
+    for factor, shift in STEPS:
+        x = f"[xor(y, y >> {shift}) FOR y IN [(({x}) + 1) * {factor} % {MODULUS}]][1]"
+    return x
+
+
 def squared_distance(a: Column, b: Column) -> Column:
     """Sum of squared differences, in double."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda n, x: n + x)

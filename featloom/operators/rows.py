@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import functions as fn
+
 
 def row_range(df: DataFrame, begin: int = 0, end: int | None = None) -> DataFrame:
     """Rows begin <= datum_id < end; end None or -1 is to the last."""
@@ -30,10 +32,12 @@ def worker_of(datum_id: Column, n_rows: int, workers: int) -> Column:
 
 
 def subsample(df: DataFrame, rate: float, seed: int = 0, key: str = "datum_id") -> DataFrame:
-    """Rows whose hash of key and seed falls under the rate: the same rows on every run."""
+    """Rows whose hash of key (a whole number, or else its text) and seed falls under the rate: the same on every run."""
     if not 0 <= rate <= 1:
         raise ValueError("rate is from 0 to 1")
-    return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_000)) < int(rate * 1_000_000))
+    whole = dict(df.dtypes)[key] in ("tinyint", "smallint", "int", "bigint")
+    number = F.col(key).cast("long") if whole else F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 31).cast("long"))
+    return df.where(F.pmod(fn.mix31(fn.mix31(number) + seed), F.lit(1_000_000)) < int(rate * 1_000_000))
 
 
 def first_rows(df: DataFrame, n: int) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,33 +31,57 @@ def _running(sizes: list[int]) -> list[int]:
     return out
 
 
+def _entry(family: str):
+    return lambda x: F.struct(F.lit(family).alias("family"), x["i"].alias("feature"), x["v"].alias("value"))
+
+
 def long_form(df: DataFrame, schema: SchemaSpec, families: list[str] | None = None) -> DataFrame:
-    """datum_id, family, feature (number), value: a row for each stored entry."""
+    """datum_id, family, feature (number), value: a row for each stored entry, by one scan for all families."""
     parts = []
     for name in sorted(families or schema.families):
         f = schema.family(name)
         # a sparse family's entries need no size; 2**31 - 1 stands for all of them
-        whole = fn.pairs(Wide(Family(f.name, f.kind, f.size if f.size is not None else 2**31 - 1, f.features), 0, f.size if f.size is not None else 2**31 - 1))
-        parts.append(df.select("datum_id", F.lit(name).alias("family"), F.explode(whole).alias("p")).select("datum_id", "family", F.col("p.i").alias("feature"), F.col("p.v").alias("value")))
-    return reduce(DataFrame.unionByName, parts)
-
+        size = f.size if f.size is not None else 2**31 - 1
+        whole = fn.pairs(Wide(Family(f.name, f.kind, size, f.features), 0, size))
+        parts.append(F.transform(whole, _entry(name)))
+    return df.select("datum_id", F.explode(F.concat(*parts)).alias("p")).select("datum_id", "p.*")
 
-def compute_stats(df: DataFrame, schema: SchemaSpec, families: list[str] | None = None) -> DataFrame:
-    """family, feature, min, max (0 counts as a value of every feature, as absent entries are 0), sum, n_stored, mean and
-    var (population, absent entries 0), n_rows. Sums are in double.
 
-    One aggregation with partial sums; its result has a row for each feature that occurs."""
-    rows = df.count()
+def partial_stats(df: DataFrame, schema: SchemaSpec, families: list[str] | None = None) -> DataFrame:
+    """family, feature, min, max (0 counts as a value of every feature, as absent entries are 0), sum, squares, n_stored: what
+    the statistics of several parts of a table add up from. Sums are in double."""
     v = F.col("value").cast("double")
-    mean = F.col("sum") / F.lit(float(max(rows, 1)))
     return (
         long_form(df, schema, families)
         .groupBy("family", "feature")
         .agg(F.least(F.min("value"), F.lit(0.0)).cast("double").alias("min"), F.greatest(F.max("value"), F.lit(0.0)).cast("double").alias("max"), F.sum(v).alias("sum"), F.sum(v * v).alias("squares"), F.count(F.lit(1)).alias("n_stored"))
-        .select("family", "feature", "min", "max", "sum", "n_stored", mean.alias("mean"), F.greatest(F.lit(0.0), F.col("squares") / F.lit(float(max(rows, 1))) - mean * mean).alias("var"), F.lit(rows).cast("long").alias("n_rows"))
     )
 
 
+def merged_stats(parts: DataFrame) -> DataFrame:
+    """The partial statistics of all parts together."""
+    return parts.groupBy("family", "feature").agg(F.min("min").alias("min"), F.max("max").alias("max"), F.sum("sum").alias("sum"), F.sum("squares").alias("squares"), F.sum("n_stored").alias("n_stored"))
+
+
+def final_stats(partial: DataFrame, rows: int) -> DataFrame:
+    """family, feature, min, max, sum, n_stored, mean and var (population, absent entries 0), n_rows."""
+    mean = F.col("sum") / F.lit(float(max(rows, 1)))
+    return partial.select("family", "feature", "min", "max", "sum", "n_stored", mean.alias("mean"), F.greatest(F.lit(0.0), F.col("squares") / F.lit(float(max(rows, 1))) - mean * mean).alias("var"), F.lit(rows).cast("long").alias("n_rows"))
+
+
+def compute_stats(df: DataFrame, schema: SchemaSpec, families: list[str] | None = None) -> DataFrame:
+    """The statistics of a table: one scan and one aggregation with partial sums; a row for each feature that occurs."""
+    return final_stats(partial_stats(df, schema, families), df.count())
+
+
+def dictionaries(df: DataFrame, features: list[Single]) -> DataFrame:
+    """feature (its place in the list), value (float), first: the dictionaries of several features without 0, which always
+    has position 0, by one scan and one aggregation. Cut, as it is read several times."""
+    cells = F.array(*[F.struct(F.lit(k).alias("feature"), fn.single(s).alias("value")) for k, s in enumerate(features)])
+    rows = df.select("datum_id", F.explode(F.filter(cells, lambda x: x["value"] != 0)).alias("c"))
+    return cut(rows.groupBy("c.feature", "c.value").agg(F.min("datum_id").alias("first")))
+
+
 def dictionary(df: DataFrame, feature: Single, zero_first: bool = True) -> DataFrame:
     """value (float), first: the distinct values of a feature with the first datum_id that has each; with zero_first
     without 0, which always has position 0. Positions are by (first, value)."""

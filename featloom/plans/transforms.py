@@ -13,6 +13,7 @@ from .. import functions as fn
 from ..operators import stats
 from ..schema import FeatureError, SchemaSpec
 from ..selectors import Single, Wide, resolve
+from ..session import small_side
 
 
 @dataclass
@@ -175,24 +176,28 @@ class OneHot(Transform):
         singles = stats.select_singles(self.inputs, ctx.schema)
         if not singles:
             raise FeatureError("nothing to encode")
+        table = stats.dictionaries(ctx.df, singles)
+        sizes = {r.feature: r.n for r in table.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()}
+        small = [k for k in range(len(singles)) if sizes.get(k, 0) < LITERAL]
+        values: dict[int, list[float]] = {k: [0.0] for k in small}
+        if few := [k for k in small if k in sizes]:
+            for r in table.where(F.col("feature").isin(few)).orderBy("feature", "first", "value").toLocalIterator():
+                values[r.feature].append(r.value)
         widths, names, places = [], [], []
         for k, s in enumerate(singles):
-            d = stats.dictionary(ctx.df, s)
-            few = d.orderBy("first", "value").limit(LITERAL).collect()
-            if len(few) < LITERAL:
-                values = [0.0, *(r.value for r in few)]
-                widths.append(len(values))
-                names.append(lambda i, s=s, values=values: f"{s.name}={values[i]:g}")
-                places.append((F.array_position(F.array(*[F.lit(v).cast("float") for v in values]), fn.single(s)) - 1).cast("long"))
+            widths.append(sizes.get(k, 0) + 1)
+            if k in values:
+                names.append(lambda i, s=s, known=values[k]: f"{s.name}={known[i]:g}")
+                places.append((F.array_position(F.array(*[F.lit(v).cast("float") for v in values[k]]), fn.single(s)) - 1).cast("long"))
                 continue
-            table = stats.positions(ctx.df, s)
-            column = f"_pos_{ctx.number}_{k}"
-            value = f"_value_{ctx.number}_{k}"
-            widths.append(int(table.agg(F.max("pos")).first()[0]) + 1)
+            column, value = f"_pos_{ctx.number}_{k}", f"_value_{ctx.number}_{k}"
             names.append(lambda i, s=s: f"{s.name}#{i}")
-            table = table.select(F.col("value").alias(value), F.col("pos").alias(column))
-            ctx.add(lambda df, s=s, value=value, table=table: df.withColumn(value, fn.single(s)).join(table, value, "left").drop(value))
-            places.append(F.coalesce(F.col(column), F.lit(-1)))
+            known = stats.numbered(table.where(F.col("feature") == k), "first", "value").select(F.col("value").alias(value), (F.col("pos") + 1).alias(column))
+            known = small_side(known)
+            # 0 is often the commonest value and needs no look-up
+            key = F.when(fn.single(s) != 0, fn.single(s))
+            ctx.add(lambda df, key=key, value=value, known=known: df.withColumn(value, key).join(known, value, "left").drop(value))
+            places.append(F.when(fn.single(s) == 0, F.lit(0).cast("long")).otherwise(F.coalesce(F.col(column), F.lit(-1))))
         starts = [sum(widths[:k]) for k in range(len(widths))]
 
         def name(i: int) -> str:
@@ -356,13 +361,16 @@ class HashTrick(Transform):
         singles, wide = resolve(self.inputs, ctx.schema)
 
         def build(offset: int) -> Column:
-            hashed = F.transform(selected(singles, wide, 0), lambda x: F.struct(F.pmod(F.xxhash64(x["i"]), F.lit(self.num_buckets)).alias("s"), x["v"].alias("v")))
-            step = lambda acc, x: F.when(
-                (F.size(acc) > 0) & (F.coalesce(F.get(acc, F.size(acc) - 1)["s"], F.lit(-1)) == x["s"]),
-                F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(x["s"].alias("s"), (F.get(acc, F.size(acc) - 1)["v"] + x["v"].cast("double")).alias("v")))),
-            ).otherwise(F.concat(acc, F.array(F.struct(x["s"].alias("s"), x["v"].cast("double").alias("v")))))
-            summed = F.aggregate(F.array_sort(hashed), F.array().cast("array<struct<s:bigint,v:double>>"), step)
-            return F.transform(summed, lambda x: fn.pair(x["s"] + offset, x["v"]))
+            hashed = F.transform(selected(singles, wide, 0), lambda x: F.struct(F.pmod(fn.mix31(x["i"]), F.lit(self.num_buckets)).alias("s"), x["i"].alias("i"), x["v"].cast("double").alias("v")))
+
+            def summed(e: Column) -> Column:
+                changes = lambda x, k: F.when((k == 0) | (F.get(e, k - 1)["s"] != x["s"]), k)
+                starts = F.filter(F.transform(e, changes), lambda k: k.isNotNull())
+                end = lambda a, k: F.coalesce(F.get(a, k + 1), F.size(e))
+                total = lambda x, upto: F.aggregate(F.slice(e, x + 1, upto - x), F.lit(0.0), lambda n, y: n + y["v"])
+                return fn.let(starts, lambda a: F.transform(a, lambda x, k: fn.pair(F.get(e, x)["s"] + offset, total(x, end(a, k)))))
+
+            return fn.let(F.array_sort(hashed), summed)
 
         return Plan(self.num_buckets, lambda i: f"slot{i}", build)
 

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import functions as fn
-from ..operators.stats import numbered
 from ..schema import DEFAULT, PREFIX, Family, SchemaSpec
 
 SPARSE = "struct<indices:array<int>,values:array<float>>"
@@ -155,26 +154,45 @@ def read_kdd(spark: SparkSession, paths: str | Sequence[str], **_) -> DataFrame:
     return spark.read.option("sep", "\t").option("header", "true").option("inferSchema", "true").csv(_paths(paths))
 
 
-def read_dense_binary(spark: SparkSession, paths: str | Sequence[str], dim: int) -> DataFrame:
-    """Files of little-endian float32 rows of a label and dim values to datum_id, label, weight and a dense family."""
+def read_dense_binary(spark: SparkSession, paths: str | Sequence[str], dim: int, **_) -> DataFrame:
+    """Files of little-endian float32 rows of a label and dim values to datum_id, label, weight and a dense family.
+
+    Files are split between records, however large they are, and rows are numbered where they lie: by file and offset."""
+    records = spark.sparkContext.union([spark.sparkContext.binaryRecords(p, 4 * (dim + 1)) for p in _paths(paths)])
+    rows = records.zipWithIndex().map(lambda x: (x[1], x[0])).toDF("datum_id long, record binary")
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            for path, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                rows = np.frombuffer(data, "<f4").reshape(-1, dim + 1)
-                for at in range(0, len(rows), 4096):
-                    part = rows[at : at + 4096]
-                    values = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * dim), pa.array(part[:, 1:].ravel()))
-                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(part)), pa.array(np.arange(at, at + len(part)), pa.int64()), pa.array(part[:, 0]), values], names=["_file", "_row", "label", "values"])
+            part = np.frombuffer(b"".join(batch.column("record").to_pylist()), "<f4").reshape(-1, dim + 1)
+            values = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * dim), pa.array(part[:, 1:].ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("datum_id"), pa.array(part[:, 0]), values], names=["datum_id", "label", "values"])
+
+    return rows.mapInArrow(run, "datum_id long, label float, values array<float>").select("datum_id", "label", F.lit(1.0).cast("float").alias("weight"), F.col("values").alias(PREFIX + DEFAULT))
+
+
+def read_stored(spark: SparkSession, source: str, options: dict[str, str] | None = None, column: str = "content", id_column: str = "datum_id", feature_one_based: bool = False, label_one_based: bool = False, **_) -> DataFrame:
+    """LIBSVM lines that a store's table keeps in a column, each with its id. source: a data source's name, with its
+    options, or "table" with the option name for a table of the session's catalog (Hive's among them)."""
+    options = options or {}
+    rows = spark.table(options["name"]) if source == "table" else spark.read.format(source).options(**options).load()
+    return parse_libsvm(rows.select(F.col(id_column).cast("long").alias("datum_id"), F.col(column).alias("value")), "value", feature_one_based, label_one_based)
+
+
+def read_table(spark: SparkSession, paths: str, **options) -> DataFrame:
+    """Lines in a column of a catalog table."""
+    return read_stored(spark, "table", {"name": paths}, **options)
+
 
-    rows = spark.read.format("binaryFile").load(_paths(paths)).select("path", "content").mapInArrow(run, "_file string, _row long, label float, values array<float>")
-    return numbered(rows, "_file", "_row", name="datum_id").select("datum_id", "label", F.lit(1.0).cast("float").alias("weight"), F.col("values").alias(PREFIX + DEFAULT))
+def read_cassandra(spark: SparkSession, paths: str, source: str = "org.apache.spark.sql.cassandra", **options) -> DataFrame:
+    """Lines in a column of the table "keyspace.table", by the connector, which has to be on Spark's class path."""
+    keyspace, table = paths.split(".", 1)
+    return read_stored(spark, source, {"keyspace": keyspace, "table": table}, **options)
 
 
-FORMATS: dict[str, Callable[..., DataFrame]] = {"libsvm": read_libsvm, "family": read_family, "csv": read_csv, "criteo": read_criteo, "kdd": read_kdd, "bin": read_dense_binary}
+FORMATS: dict[str, Callable[..., DataFrame]] = {"libsvm": read_libsvm, "family": read_family, "csv": read_csv, "criteo": read_criteo, "kdd": read_kdd, "bin": read_dense_binary, "table": read_table, "cassandra": read_cassandra}
 
 
 def register_format(name: str, reader: Callable[..., DataFrame]) -> None:

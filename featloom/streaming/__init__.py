@@ -63,6 +63,7 @@ def dictionary_merge(spark: SparkSession, root: str, column: str) -> Callable[[D
     return merge
 
 
-def windowed_counts(stream: DataFrame, time: str, key: str, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
-    """start, key and n of tumbling windows; rows later than the watermark are left out."""
-    return stream.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), key).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), key, "n")
+def windowed_counts(stream: DataFrame, time: str, key: str, width: str = "1 hour", late: str = "1 hour", slide: str | None = None) -> DataFrame:
+    """start, key and n of tumbling windows, or of ones that begin every slide; rows later than the watermark are left out."""
+    window = F.window(time, width, slide) if slide else F.window(time, width)
+    return stream.withWatermark(time, late).groupBy(window.alias("w"), key).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), key, "n")

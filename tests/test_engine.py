@@ -1,10 +1,11 @@
 import json
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from featloom import plans, sinks, sources, streaming
+from featloom import functions, plans, sinks, sources, streaming
 from featloom.catalog import Catalog, NotFound
 from featloom.config import ConfigBuilder, parse_config, settings
 from featloom.operators import learn, rows, stats, tokens
@@ -225,15 +226,94 @@ def test_tokens_and_learning(spark, tmp_path):
     assert {r.datum_id: r.indices for r in tokens.categories(df, "id", ["t"], ids).collect()} == {0: [13], 2: [14]}
     data = [(i, float(i % 2), 1.0, [float(i % 2), 1.0]) for i in range(40)]
     v = plans.FeatureSession(spark.createDataFrame(data, "datum_id long, label float, weight float, fam_d array<float>"), [plans.Select("d:")], sizes={"d": 2}).to_df()
-    w = learn.sgd_logistic(v, 2, rate=1.0, epochs=8)
-    assert w[0] > 0.5
-    learn.save_weights(spark, w, str(tmp_path / "w"))
-    assert learn.load_weights(spark, str(tmp_path / "w")) == w
+    w = learn.sgd(v, rate=1.0, epochs=3)
+    learn.save_weights(w, str(tmp_path / "w"))
+    found = {(r.feature_id, r["class"]): r.weight for r in learn.load_weights(spark, str(tmp_path / "w")).collect()}
+    assert found[0, 1] > 0.2 and set(found) == {(0, 1), (1, 1)}
     assert learn.logistic(learn.ml_table(v, 2)).coefficients[0] > 1
     made = learn.synthetic(spark, 200, 50, 5)
     assert made.count() == 200 and made.agg(F.sum(F.size("fam_default.indices"))).first()[0] > 50
 
 
+def test_learning_at_a_large_width(spark):
+    """Sparse rows stay sparse, and no plan holds the weights."""
+    dim, rng = 1_000_000, random.Random(1)
+    rows = [(i, float(i % 2), 1.0, dim, sorted(rng.sample(range(dim), 5) + [dim + 1 + i % 2]), [1.0] * 6) for i in range(60)]
+    v = spark.createDataFrame(rows, "datum_id long, label float, weight float, dim long, indices array<long>, values array<float>")
+    first = learn.ml_table(v, dim + 4).where("datum_id = 0").first().features
+    assert first.size == dim + 4 and list(first.indices) == rows[0][4]
+    assert learn.ml_table(v, dim + 4).schema["features"].dataType.typeName() == "vectorudt"
+    w = learn.sgd(v, rate=0.5, epochs=2)
+    by = {r.feature_id: r.weight for r in w.collect()}
+    assert len(by) <= 302 and by[dim + 2] > 0.2 > -0.2 > by[dim + 1]
+    three = v.withColumn("label", F.col("datum_id") % 3)
+    sums = learn.sgd(three, classes=3, rate=0.5, epochs=2).groupBy("feature_id").agg(F.sum("weight").alias("w"))
+    assert sums.where("abs(w) > 1e-9").count() == 0
+
+
+def test_one_scan_for_all_dictionaries_and_families(spark, tmp_path):
+    spark.range(50).select(F.col("id").alias("datum_id"), *[F.struct((F.col("id") % (k + 2)).cast("float").alias("x")).alias(f"fam_{k}") for k in range(6)]).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    schema = SchemaSpec.of(df)
+    plan = stats.long_form(df, schema)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Union" not in plan
+    s = plans.FeatureSession(df, [plans.OneHot([f"{k}:x" for k in range(6)])])
+    assert s.dim == sum(range(2, 8)) and all(len(v) == 6 for v in vectors(s))
+
+
+def test_hash_trick_of_wide_rows(spark):
+    values = [float(k % 7) for k in range(5000)]
+    s = plans.FeatureSession(small(spark, [values]), [plans.HashTrick("d:", 50)], sizes={"d": 5000})
+    got = vectors(s)[0]
+
+    def mix(x):
+        x %= 2147483647
+        for factor, shift in functions.STEPS:
+            x = (x + 1) * factor % functions.MODULUS
+            x ^= x >> shift
+        return x
+
+    want = [0.0] * 50
+    for k, x in enumerate(values):
+        want[mix(k) % 50] += x
+    assert got == pytest.approx(dict(enumerate(want)))
+
+
+def test_failed_ingest_leaves_the_table_as_it_was(spark, toy, tmp_path, monkeypatch):
+    c = Catalog(spark, str(tmp_path / "db"))
+    c.create("t")
+    c.ingest("t", toy, "libsvm")
+
+    def fails(*_, **__):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(stats, "partial_stats", fails)
+        with pytest.raises(OSError):
+            c.ingest("t", toy, "libsvm")
+    assert c.meta("t")["rows"] == 5 and c.get("t").count() == 5
+    c.ingest("t", toy, "libsvm", collect_stats=False)
+    assert sorted(r.datum_id for r in c.get("t").collect()) == list(range(10))
+    assert {r.n_rows for r in c.stats("t").collect()} == {10} and {r.feature: r.sum for r in c.stats("t").collect()}[3] == 4
+    with pytest.raises(ValueError):
+        c.create("_values")
+    other = Catalog(spark, str(tmp_path / "db"))
+    other._version = lambda name: 1  # has not seen the last commit
+    monkeypatch.setattr(other, "_put", fails)
+    with pytest.raises(OSError):
+        other.ingest("t", toy, "libsvm")
+    assert c.meta("t")["rows"] == 10
+
+
+def test_sides_of_joins_are_measured(spark):
+    from featloom import session
+
+    df = spark.createDataFrame([(1, "é" * 100, [1, 2], [("a", 1)], {"k": "v"}), (None, None, None, None, None)], "a long, b string, c array<int>, d array<struct<x:string,y:int>>, e map<string,string>")
+    assert 300 < session.frame_bytes(df) < 700 and session.frame_bytes(df.limit(0)) == 0
+    small = session.small_side(df)._jdf.queryExecution().logical().toString()
+    assert "broadcast" in small.lower()
+
+
 def test_streams(spark, toy, tmp_path):
     table = sources.read(spark, toy, "libsvm")
     table.write.parquet(str(tmp_path / "in"))
