@@ -332,3 +332,17 @@ def deduplicated(docs: DataFrame, percent: int = 80) -> DataFrame:
     rest = row.join(small_side(found.select("found_id")), same, "left_anti")
     again = row.join(small_side(found.where("one")), same).groupBy("found_id").agg(F.min_by("row", F.coalesce(F.concat(F.lit("1"), F.col("row.text").cast("string")), F.lit("0"))).alias("row"))
     return rest.unionByName(again.select("row")).select(*[F.col("row")[c].alias(c) for c in docs.columns])
+
+
+#: The same by joining whole sets, at 85 percent.
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 85 * (nx.n + ny.n - c)),
+r AS (SELECT doc_id AS id, doc_id AS root FROM documents UNION SELECT y, root FROM r JOIN e ON x = id)
+SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(root) AS component_id, d.doc_id = min(root) AS kept
+FROM documents d JOIN r ON r.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id
+"""

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U64, documents, mix, passes, windows, word_hashes, word_spans
@@ -175,28 +175,37 @@ def train(lines: Lines, labels: np.ndarray, rounds: int = 150, l2: float = 1e-3)
     return Model(model.w, trans, float(max(a, 0.05)), float(b), base)
 
 
-def _stack(texts: list[str]) -> Lines:
-    parts = [features(raw, offsets) for _, _, raw, offsets in passes(pa.array(texts, pa.string()))]
-    rows, at = [np.zeros(1, np.int64)], 0
-    for p in parts:
-        rows.append(p.row[1:] + at)
-        at += len(p.size)
-    return Lines(np.concatenate([p.x for p in parts] or [np.zeros((0, WIDTH), np.float32)]), np.concatenate([p.size for p in parts] or [np.zeros(0)]), np.concatenate(rows))
-
-
 def remainder():
     """crc32 of the doc_id's digits modulo 5; 0 is held out."""
     return F.crc32(F.col("doc_id").cast("long").cast("string")) % 5
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 2000) -> Model:
-    """A model from at most sample labelled documents that aren't held out, those first in the order of a hash of their
-    doc_id. Null labels, ids and unlabelled documents are left out; without labels of both kinds all scores are equal."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 2000, sample_bytes: int = 64 << 20) -> Model:
+    """A model from labelled documents that aren't held out, in the order of a hash of their doc_id: at most sample, and only
+    so many that their texts have at most sample_bytes. Their lines' features (not their texts) come to the driver. Null
+    labels, ids and unlabelled documents are left out; a doc_id with several texts counts with the least; without labels of
+    both kinds all scores are equal."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)").where(remainder() != 0)
     chosen = known.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
-    rows = documents(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect()  # at most `sample` rows
-    rows.sort(key=lambda r: (r.doc_id, r.quality, r.text))
-    return train(_stack([r.text for r in rows]), np.array([r.quality for r in rows], float))
+    rows = documents(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    upto = F.sum(F.octet_length("text").cast("long")).over(Window.partitionBy(F.lit(0)).orderBy(F.xxhash64("doc_id"), "doc_id", "quality"))  # of at most `sample` rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, size = [], []
+            for _, _, raw, offsets in passes(batch.column("text")):
+                lines = features(raw, offsets)
+                for a, b in zip(lines.row[:-1], lines.row[1:]):
+                    x.append(lines.x[a:b].astype(np.float32).tobytes())
+                    size.append(lines.size[a:b].astype(np.float32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(x, pa.binary()), pa.array(size, pa.binary())], names=["doc_id", "quality", "x", "size"])
+
+    found = rows.withColumn("upto", upto).where(F.col("upto") <= sample_bytes).select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality int, x binary, size binary").collect()
+    found.sort(key=lambda r: (r.doc_id, r.quality))
+    x = [np.frombuffer(r.x, np.float32).reshape(-1, WIDTH) for r in found]
+    size = [np.frombuffer(r["size"], np.float32) for r in found]
+    lines = Lines(np.concatenate([np.zeros((0, WIDTH), np.float32), *x]), np.concatenate([np.zeros(0), *size]), np.cumsum([0, *map(len, x)]))
+    return train(lines, np.array([r.quality for r in found], float))
 
 
 def classify(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:

@@ -118,9 +118,13 @@ def failed(policy: Policy) -> Column:
     return F.col("fail_bits").bitwiseAND(F.lit(policy.mask).cast("long")) != 0
 
 
+def _named(rows: DataFrame, policy: Policy) -> DataFrame:
+    return rows.withColumns({"policy": F.lit(policy.name), "policy_version": F.lit(policy.version)})
+
+
 def verdicts(docs: DataFrame, policy: Policy = POLICIES["default"]) -> DataFrame:
-    """Ledger with base_failed and kept (false if base_failed or a rule of the policy fails)."""
-    return ledger(docs).withColumn("base_failed", failed(POLICIES["base"])).withColumn("kept", ~(F.col("base_failed") | failed(policy)))
+    """Ledger with base_failed, kept (false if base_failed or a rule of the policy fails), and the policy's name and version."""
+    return _named(ledger(docs).withColumn("base_failed", failed(POLICIES["base"])).withColumn("kept", ~(F.col("base_failed") | failed(policy))), policy)
 
 
 def accepted(docs: DataFrame, policy: Policy = POLICIES["default"]) -> DataFrame:
@@ -130,16 +134,20 @@ def accepted(docs: DataFrame, policy: Policy = POLICIES["default"]) -> DataFrame
 
 
 def ablations(ledger_rows: DataFrame, policy: Policy = POLICIES["default"]) -> DataFrame:
-    """For each rule of the policy: rule, n_failed, n_only (rows that would be kept without it).
+    """For each rule of the policy: rule, n_failed, n_only (rows that would be kept without it), and the policy's name and
+    version.
 
-    One count for each combination of bits (at most 2**rules rows, whatever the input) carries all of it."""
+    One count for each combination of bits (at most 2**rules rows, whatever the input) carries all of it; a rule that
+    fails nowhere has zeros."""
     combos = ledger_rows.groupBy(F.col("fail_bits").bitwiseAND(F.lit(policy.mask).cast("long")).alias("bits")).agg(F.count(F.lit(1)).alias("n"))
     rules = F.array(*[F.struct(F.lit(x).alias("rule"), F.lit(BIT[x]).cast("long").alias("bit")) for x in BIT if x in policy.rules])
-    one = combos.select("bits", "n", F.explode(rules).alias("r"))
-    return one.groupBy(F.col("r.rule").alias("rule")).agg(
+    none = ledger_rows.sparkSession.range(1).select(F.lit(0).cast("long").alias("bits"), F.lit(0).cast("long").alias("n"))
+    one = combos.unionByName(none).select("bits", "n", F.explode(rules).alias("r"))
+    counts = one.groupBy(F.col("r.rule").alias("rule")).agg(
         F.sum(F.when(F.col("bits").bitwiseAND(F.col("r.bit")) != 0, F.col("n")).otherwise(0)).alias("n_failed"),
         F.sum(F.when(F.col("bits") == F.col("r.bit"), F.col("n")).otherwise(0)).alias("n_only"),
     )
+    return _named(counts, policy)
 
 
 def compare(ledger_rows: DataFrame, old: Policy, new: Policy) -> DataFrame:
@@ -169,4 +177,6 @@ m AS (
   FROM w LEFT JOIN cov USING (doc_id)),
 led AS (SELECT *, (""" + " + ".join(f"CASE WHEN {rule} THEN {BIT[name]} ELSE 0 END" for name, rule, _ in RULES) + r""")::BIGINT AS fail_bits FROM m)
 """
-ORACLE = ORACLE_MEASURES + "SELECT *, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept FROM led"
+ORACLE = ORACLE_MEASURES + "SELECT *, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, 'default' AS policy, 1 AS policy_version FROM led"
+ABLATIONS_ORACLE = ORACLE_MEASURES + f"""SELECT rule, count(*) FILTER (fail_bits & bit <> 0) AS n_failed, count(*) FILTER (fail_bits = bit) AS n_only, 'default' AS policy, 1 AS policy_version
+FROM led, (SELECT unnest({list(BIT)}) AS rule, unnest({list(BIT.values())}) AS bit) GROUP BY rule"""

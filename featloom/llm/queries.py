@@ -48,6 +48,11 @@ def op7_quality_rules(spark, sf_dir):
     return quality_rules.verdicts(table(spark, sf_dir, "documents"))
 
 
+def quality_ablations(spark, sf_dir):
+    """What each rule of the default policy does by itself, from the ledger of all documents."""
+    return quality_rules.ablations(quality_rules.ledger(table(spark, sf_dir, "documents")))
+
+
 def op8_quality_crf(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return quality_crf.classify(docs, quality_crf.fit(docs, table(spark, sf_dir, "labels")))
@@ -61,7 +66,7 @@ def op10_decontamination(spark, sf_dir):
     return decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_chat_formatting": op1_chat_formatting, "op2_near_dedup": op2_near_dedup, "op3_html_extraction": op3_html_extraction, "op4_lm_score": op4_lm_score, "op5_bpe": op5_bpe, "op6_line_dedup": op6_line_dedup, "op7_quality_rules": op7_quality_rules, "op8_quality_crf": op8_quality_crf, "op9_license_scan": op9_license_scan, "op10_decontamination": op10_decontamination}
+QUERIES = {"op1_chat_formatting": op1_chat_formatting, "op2_near_dedup": op2_near_dedup, "op3_html_extraction": op3_html_extraction, "op4_lm_score": op4_lm_score, "op5_bpe": op5_bpe, "op6_line_dedup": op6_line_dedup, "op7_quality_rules": op7_quality_rules, "quality_ablations": quality_ablations, "op8_quality_crf": op8_quality_crf, "op9_license_scan": op9_license_scan, "op10_decontamination": op10_decontamination}
 OP1_ORACLE = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce("text", '') AS t FROM conversations
@@ -74,4 +79,4 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || t || c
 FROM f GROUP BY conv_id
 """
 
-ORACLES: dict[str, str] = {"op1_chat_formatting": OP1_ORACLE, "op4_lm_score": lm_score.ORACLE, "op6_line_dedup": line_dedup.ORACLE, "op7_quality_rules": quality_rules.ORACLE}
+ORACLES: dict[str, str] = {"op1_chat_formatting": OP1_ORACLE, "op2_near_dedup": near_dedup.ORACLE, "op4_lm_score": lm_score.ORACLE, "op6_line_dedup": line_dedup.ORACLE, "op7_quality_rules": quality_rules.ORACLE, "quality_ablations": quality_rules.ABLATIONS_ORACLE}

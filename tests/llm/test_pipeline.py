@@ -43,3 +43,48 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert got == sorted((i, hashlib.sha256(x.encode()).hexdigest()) for i, x in clean)
     again = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted((r.doc_id, r.decoded_sha256) for r in again.collect()) == got
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def put(spark, path, rows, items):
+    df = spark.createDataFrame(rows, SCHEMA)
+    for c in ("gone_id", "found_id", "bad_id", "bad_h", "row", "spans", "h", "j", "name", "rep", "one", "key", "ids", "rest", "m"):
+        df = df.withColumn(c, t.F.lit(1))
+    df.write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return spark.read.parquet(f"{path}/documents.parquet")
+
+
+def test_stages_of_nothing(spark, tmp_path):
+    """Empty documents, and no benchmark."""
+    docs = put(spark, str(tmp_path), [], [])
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.count() == 0, name
+        docs = out if name != "encoding" else docs
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_of_odd_rows(spark, tmp_path):
+    """Nulls in every column, repeated rows and ids, ties, columns whose names clash, benchmark items without a word."""
+    rng = random.Random(2)
+    good = [" ".join(rng.choice(t.VOCAB) + str(rng.randrange(50)) for _ in range(120)) for _ in range(6)]
+    item = " ".join(f"z{i}" for i in range(20)) + ". An answer."
+    rows = [(1, good[0], None, None, None), (1, good[0], "en", "s", 3), (2, good[0], "en", "s", 3), (3, good[1], "en", "s", 3), (3, good[2], "en", "s", 3), (None, good[3], "en", "s", 3), (None, None, None, None, None),
+            (5, None, "en", "s", 0), (6, "", "en", "s", 0), (7, f"{good[4]} {item}", "en", "s", 3), (None, f"{good[5]} {item}", "en", "s", 3)]
+    docs = put(spark, str(tmp_path), rows, [(1, item), (None, item), (2, None), (3, ""), (4, "...")])
+    stages = dict(corpus_pipeline.STAGES)
+    run = lambda name, df: stages[name](spark, df, str(tmp_path))
+    kept = run("quality rules", docs)
+    assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted("1 1 2 3 3 None 7 None".split())
+    lines = run("line dedup", kept)
+    assert lines.columns == docs.columns and sorted(str(r.doc_id) for r in lines.collect()) == sorted("1 1 3 3 None 7 None".split())
+    near = run("near dedup", kept)  # one row of each group and id; all without an id
+    assert near.columns == docs.columns and sorted(str(r.doc_id) for r in near.collect()) == sorted("1 3 7 None None".split())
+    assert {r.text for r in near.where("doc_id = 3").collect()} == {min(good[1:3])}
+    clean = run("benchmark decontamination", kept)
+    assert clean.columns == docs.columns and sorted(str(r.doc_id) for r in clean.collect()) == sorted("1 1 2 3 3 None".split())
+    encoded = run("encoding", docs)
+    assert encoded.count() == len(rows) and sorted(r.n_tokens for r in encoded.where("doc_id in (5, 6)").collect()) == [0, 0]
