@@ -29,6 +29,8 @@ ALNUM = np.zeros(256, bool)
 ALNUM[48:58] = ALNUM[65:91] = ALNUM[97:123] = ALNUM[128:] = True
 BLOCK = 8
 K1, B = 1.2, 0.75
+#: Share of the threshold that the terms before the pivot stay under: less makes bounds tighter and postings more.
+PIVOT = 0.1
 #: Bytes of an index, which each Python worker holds; more items are taken in several passes over the texts.
 INDEX_BYTES = 128 << 20
 LONGEST = 256
@@ -101,24 +103,36 @@ class Index:
             for d in _entries(text):
                 docs.append(d)
                 self.owner.append(len(self.items) - 1)
-        self.terms = np.unique(np.concatenate(docs)) if docs else np.empty(0, U64)
-        v = len(self.terms)
+        terms = np.unique(np.concatenate(docs)) if docs else np.empty(0, U64)
+        v = len(terms)
         self.n_blocks = max(1, -(-len(docs) // BLOCK))
-        idf, mean = known.idf(self.terms) if docs else np.empty(0), known.words / max(known.n, 1)
-        key, slot, weight = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.float32)]
+        idf, mean = known.idf(terms) if docs else np.empty(0), known.words / max(known.n, 1)
+        term, block, slot, weight = ([np.empty(0, t)] for t in (np.int64, np.int64, np.int64, np.float32))
         for i, d in enumerate(docs):
-            t, c = np.unique(np.searchsorted(self.terms, d), return_counts=True)
+            t, c = np.unique(np.searchsorted(terms, d), return_counts=True)
             w = idf[t] * c * (K1 + 1) / (c + K1 * (1 - B + B * len(d) / mean))
-            key.append(t * self.n_blocks + i // BLOCK)
+            term.append(t)
+            block.append(np.full(len(t), i // BLOCK))
             slot.append(np.full(len(t), i % BLOCK))
             weight.append((w / w.sum()).astype(np.float32))
+        term, block, slot, weight = map(np.concatenate, (term, block, slot, weight))
+        # terms are numbered by their largest impact, the least first
+        self.top = np.zeros(v, np.float32)
+        np.maximum.at(self.top, term, weight)
+        order = np.argsort(self.top, kind="stable")
+        self.top, self.terms = self.top[order], terms[order]
+        number = np.empty(v, np.int64)
+        number[order] = np.arange(v)
         # postings by (term, block): the impacts of the block's entries and the largest of them
-        self.keys, at = np.unique(np.concatenate(key), return_inverse=True)
+        self.keys, at = np.unique(number[term] * self.n_blocks + block, return_inverse=True)
         self.weights = np.zeros((len(self.keys) + 1, BLOCK), np.float32)
-        self.weights[at, np.concatenate(slot)] = np.concatenate(weight)
+        self.weights[at, slot] = weight
         self.most = self.weights[:-1].max(axis=1) if len(self.keys) else np.empty(0, np.float32)
         self.first = np.searchsorted(self.keys, np.arange(v + 1) * self.n_blocks)
-        self.top = np.maximum.reduceat(self.most, self.first[:-1]) if v else np.empty(0, np.float32)
+        self.places = None
+        if v * self.n_blocks <= 1 << 22:  # a table of all, where it is small
+            self.places = np.full(v * self.n_blocks, len(self.keys), np.int32)
+            self.places[self.keys] = np.arange(len(self.keys))
         # terms by an address of 16 bits of their hash; those that share one go to a next level with other bits
         self.levels, left = [], np.arange(v)
         while len(left) and len(self.levels) < 6:
@@ -126,7 +140,7 @@ class Index:
             place[self._address(self.terms[left], len(self.levels))] = left
             self.levels.append(place)
             left = left[place[self._address(self.terms[left], len(self.levels) - 1)] != left]
-        self.sorted = bool(len(left))
+        self.by_hash = np.argsort(self.terms) if len(left) else None  # for a crowd that shares all addresses
 
     @staticmethod
     def _address(words: np.ndarray, level: int) -> np.ndarray:
@@ -137,8 +151,8 @@ class Index:
         out = np.full(len(words), -1)
         if not len(self.terms):
             return out
-        if self.sorted:
-            t = np.minimum(np.searchsorted(self.terms, words), len(self.terms) - 1)
+        if self.by_hash is not None:
+            t = self.by_hash[np.minimum(np.searchsorted(self.terms, words, sorter=self.by_hash), len(self.terms) - 1)]
             return np.where(self.terms[t] == words, t, -1)
         left = np.arange(len(words))
         for level, place in enumerate(self.levels):
@@ -149,6 +163,13 @@ class Index:
             left = left[~same & (t >= 0)]
         return out
 
+    def posting_of(self, keys: np.ndarray) -> np.ndarray:
+        """Places of (term, block) among the postings, the last (of zeros) for those that aren't there."""
+        if self.places is not None:
+            return self.places[keys]
+        x = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[x] == keys, x, len(self.keys))
+
     def retrieve(self, words: np.ndarray, row: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
         """(text, entry, first word of the passage, score) for each passage and entry that reach the threshold.
 
@@ -166,22 +187,26 @@ class Index:
         half = (known - row[text]) // self.half
         t = t[known]
         before, here = half >= 1, half < passages[text]
-        key = np.concatenate([((base[text] + half) * v + t)[here], ((base[text] + half - 1) * v + t)[before]])
-        p, t = np.divmod(np.unique(key), v)
-        # the pivot: terms by their largest impact, the least first, up to where they could reach the threshold
-        order = np.lexsort((self.top[t], p))
-        p, t = p[order], t[order]
+        key = (base[text] + half) * v + t
+        # by passage, and in it by largest impact; the pivot is where the sum so far could reach the threshold
+        p, t = np.divmod(np.unique(np.concatenate([key[here], key[before] - v])), v)
         at = np.searchsorted(p, np.arange(base[-1] + 1))
         total = np.concatenate(([0.0], np.cumsum(self.top[t], dtype=np.float64)))
-        essential = total[1:] - total[at[p]] >= least
+        essential = total[1:] - total[at[p]] >= PIVOT * least
         if not essential.any():
             return
         under = np.bincount(p[~essential], weights=self.top[t[~essential]], minlength=base[-1])
         e = np.flatnonzero(essential)
         n = self.first[t[e] + 1] - self.first[t[e]]
         posting = np.repeat(self.first[t[e]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        found, place = np.unique(np.repeat(p[e], n) * self.n_blocks + self.keys[posting] % self.n_blocks, return_inverse=True)
-        bound = np.bincount(place, weights=self.most[posting])
+        place = np.repeat(p[e], n) * self.n_blocks + self.keys[posting] % self.n_blocks
+        if base[-1] * self.n_blocks <= 1 << 22:
+            bound = np.bincount(place, weights=self.most[posting])
+            found = np.flatnonzero(bound)
+            bound = bound[found]
+        else:  # the same without a place for each passage and block
+            found, place = np.unique(place, return_inverse=True)
+            bound = np.bincount(place, weights=self.most[posting])
         fp, block = np.divmod(found, self.n_blocks)
         some = np.flatnonzero(bound + under[fp] >= least)
         owner = np.repeat(np.arange(len(count)), passages)
@@ -191,10 +216,8 @@ class Index:
             n = at[q + 1] - at[q]
             ends = np.cumsum(n)
             terms = t[np.repeat(at[q] - (ends - n), n) + np.arange(ends[-1])]
-            wanted = terms * self.n_blocks + np.repeat(b, n)
-            x = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
-            x = np.where(self.keys[x] == wanted, x, len(self.keys))
-            score = np.round(np.add.reduceat(self.weights[x].astype(np.float64), ends - n, axis=0), 6)
+            x = self.posting_of(terms * self.n_blocks + np.repeat(b, n))
+            score = np.round(np.add.reduceat(self.weights[x], ends - n, axis=0, dtype=np.float64), 6)
             for i, slot in zip(*(z.tolist() for z in np.nonzero(score >= self.threshold))):
                 d = int(owner[q[i]])
                 yield d, int(b[i]) * BLOCK + slot, int((q[i] - base[d]) * self.half), float(score[i, slot])
