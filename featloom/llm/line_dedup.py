@@ -15,13 +15,14 @@ deleted, and together they make up all runs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut, small_side
+from ..session import FEW, cut, frame_bytes, small_side
 from .common import documents, passes, word_hashes, word_spans
 
 _BREAK = np.ones(256, bool)
@@ -71,27 +72,51 @@ def lines(docs: DataFrame, min_words: int) -> DataFrame:
     return documents(docs).where("doc_id is not null").withColumn("h", F.xxhash64("text")).mapInArrow(run, kinds)
 
 
-def _named(rows: DataFrame, key: list[str], *keep: str) -> DataFrame:
-    """Rows whose key occurs more than once, with name (the first place of it) and copies (how many there are).
+@dataclass
+class Named:
+    """rows whose key occurs more than once, with name (the first place of it) and copies (how many there are); in_place:
+    the rows of a document still come one after the other, in order."""
 
-    Keys are counted with partial sums before they are shuffled; the rows themselves are only where the table of repeated
+    rows: DataFrame
+    in_place: bool
+
+
+#: Bytes of repeated keys up to which they go to every task, and rows up to which a level is one task's.
+KEY_BYTES, ONE_TASK = 1 << 20, 1 << 20
+
+
+def _named(rows: DataFrame, key: list[str], *keep: str) -> Named:
+    """Keys are counted with partial sums before they are shuffled; the rows themselves are only where the table of repeated
     keys is too large to be broadcast, in a join whose large partitions Spark splits."""
     first = rows.groupBy(*key).agg(F.min(F.struct(*PLACE)).alias("name"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    first = small_side(cut(first.withColumnsRenamed({k: f"{k}_" for k in key})))
-    return rows.join(first, [rows[k] == F.col(f"{k}_") for k in key]).select(*PLACE, *keep, "name", "copies")
+    first = cut(first.withColumnsRenamed({k: f"{k}_" for k in key}))
+    in_place = frame_bytes(first) <= KEY_BYTES
+    n = first.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    side = F.broadcast(first.coalesce(FEW)) if in_place else first
+    out = cut(rows.join(side, [rows[k] == F.col(f"{k}_") for k in key]).select(*PLACE, *keep, "name", "copies"))
+    if n <= ONE_TASK:
+        out = out.coalesce(FEW) if in_place else out.coalesce(1).dropDuplicates([*PLACE, *keep]).sortWithinPartitions(*PLACE)
+    return Named(out, in_place or n <= ONE_TASK)
+
+
+def _starts(ids: np.ndarray, h: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether each row but the first begins a document; a repeated one begins where the places don't go on."""
+    return (ids[1:] != ids[:-1]) | (h[1:] != h[:-1]) | (j[1:] <= j[:-1])
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Tables of whole documents, from rows that are in order of (doc_id, h)."""
+    """Tables of whole documents, whose rows come one after the other."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
-        ids, h = batch.column("doc_id").to_numpy(), batch.column("h").to_numpy()
-        if not len(ids):
+        cols = [batch.column(x).to_numpy() for x in PLACE]
+        if not len(cols[0]):
             continue
-        starts = np.flatnonzero((ids[1:] != ids[:-1]) | (h[1:] != h[:-1])) + 1
-        if held and (held[-1].column("doc_id")[-1].as_py(), held[-1].column("h")[-1].as_py()) != (ids[0], h[0]):
-            yield pa.Table.from_batches(held)
-            held = []
+        starts = np.flatnonzero(_starts(*cols)) + 1
+        if held:
+            last = [np.append(held[-1].column(x)[-1].as_py(), c[:1]) for x, c in zip(PLACE, cols)]
+            if _starts(*last)[0]:
+                yield pa.Table.from_batches(held)
+                held = []
         if len(starts):
             yield pa.Table.from_batches([*held, batch.slice(0, starts[-1])])
             held = []
@@ -100,7 +125,7 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _keys(level: DataFrame, k: int) -> DataFrame:
+def _keys(level: Named, k: int) -> DataFrame:
     """Of level-k names by two: doc_id, h, j, n1, n2, n, a, b. n = 0: the two that make a level-(k+1) name; n > 0: the two
     that tell the run of n lines."""
     step = 1 << k
@@ -111,8 +136,7 @@ def _keys(level: DataFrame, k: int) -> DataFrame:
         for table in _documents(batches):
             t = table.combine_chunks()
             ids, h, j, n1, n2 = (t.column(x).to_numpy() for x in ("doc_id", "h", "j", "n1", "n2"))
-            doc = np.cumsum(np.concatenate(([0], ((ids[1:] != ids[:-1]) | (h[1:] != h[:-1])).astype(np.int64)))) << 32
-            place = doc + j
+            place = (np.cumsum(np.concatenate(([0], _starts(ids, h, j).astype(np.int64)))) << 32) + j
 
             def at(wanted: np.ndarray) -> np.ndarray:
                 x = np.minimum(np.searchsorted(place, wanted), len(place) - 1)  # noqa: B023
@@ -134,29 +158,33 @@ def _keys(level: DataFrame, k: int) -> DataFrame:
                 p, q = x[part : part + 50_000], y[part : part + 50_000]
                 yield pa.RecordBatch.from_arrays([*(pa.array(c[p]) for c in (ids, h, j, n1, n2)), pa.array(n[part : part + 50_000]), name.take(pa.array(p)), name.take(pa.array(q))], names=names)
 
-    return level.select(*PLACE, "n1", "n2", "name").repartition("doc_id", "h").sortWithinPartitions(*PLACE).mapInArrow(run, kinds)
+    rows = level.rows.select(*PLACE, "n1", "n2", "name")
+    if not level.in_place:
+        rows = rows.dropDuplicates(PLACE).repartition("doc_id", "h").sortWithinPartitions(*PLACE)
+    return rows.mapInArrow(run, kinds)
 
 
 def _levels(docs: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]:
     """The repeated lines, and the repeated shortest runs: doc_id, h, j (first line), n (lines), name, copies."""
     rows = cut(lines(docs, min_words))
-    level = cut(_named(rows, ["line", "size"], "i", "n1", "n2").dropDuplicates(PLACE))
-    first, runs = level, None
-    longest = level.agg(F.max("n2")).first()[0] or 0
+    level = _named(rows, ["line", "size"], "i", "n1", "n2")
+    first, runs = level.rows, None
+    longest = first.agg(F.max("n2")).first()[0] or 0
     k = 0
     while k == 0 or 1 << k <= longest:
-        found = cut(_named(_keys(level, k), ["n", "a", "b"], "n1", "n2", "n"))
-        here = found.where("n > 0").select(*PLACE, "n", "name", "copies")
+        found = _named(_keys(level, k), ["n", "a", "b"], "n1", "n2", "n")
+        here = found.rows.where("n > 0").select(*PLACE, "n", "name", "copies")
         runs = here if runs is None else runs.unionByName(here)
-        level, k = found.where("n = 0"), k + 1
-    return first, runs
+        level, k = Named(found.rows.where("n = 0"), found.in_place), k + 1
+    return first.select(*PLACE, "i").dropDuplicates(PLACE), runs
 
 
 def intervals(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """doc_id, h, j (first place: document, hash of its text, number among its lines that aren't empty), n_lines, copies:
-    the longest-common-prefix intervals of the shortest runs of at least min_words words, as of repeated_runs."""
+    the longest-common-prefix intervals of the shortest runs of at least min_words words, as of repeated_runs. Repeated rows
+    count as copies."""
     _, runs = _levels(docs, min_words)
-    return runs.where(F.col("name") == F.struct(*PLACE)).select(*PLACE, F.col("n").alias("n_lines"), "copies")
+    return runs.where(F.col("name") == F.struct(*PLACE)).select(*PLACE, F.col("n").alias("n_lines"), "copies").distinct()
 
 
 def repeated_runs(docs: DataFrame, min_words: int = 50) -> DataFrame:
