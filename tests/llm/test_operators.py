@@ -430,6 +430,8 @@ def test_lm_scores(docs, empty):
         w, (used, s) = want[r.doc_id][0]
         assert (r.n_words, [r.n_unigram, r.n_bigram, r.n_trigram]) == (len(w), used) and r.score == pytest.approx(s, abs=1e-3, rel=1e-7)
     assert lm_score.scores(empty).count() == 0
+    table = collections.Counter((r.order, r["count"]) for r in lm_score.count_table(docs).collect())
+    assert table == collections.Counter((n + 1, c) for n in range(3) for c in grams[n].values())
 
 
 # 5
