@@ -139,7 +139,7 @@ def t6_kmeans(spark, sf):
 
 
 def _normalize_sql(total: str) -> str:
-    return f"""SELECT vec_id AS datum_id, i::BIGINT AS feature_id, round((x[i + 1] / {total})::FLOAT::DOUBLE, 5) AS value
+    return f"""SELECT vec_id AS datum_id, i::BIGINT AS feature_id, round((x[i + 1] / {total})::FLOAT::DOUBLE, 5) + 0.0 AS value
 FROM (SELECT vec_id, x, unnest(range(0, 8)) AS i FROM (SELECT vec_id, [y::FLOAT::DOUBLE FOR y IN embedding[1:8]] AS x FROM embeddings))"""
 
 
@@ -157,14 +157,14 @@ def t7_normalize_l2(spark, sf):
     return _rounded(_long(vectors(spark, sf), [plans.Normalize("v:0-7", "l2")], sizes=V))
 
 
-@query("""SELECT vec_id AS datum_id, k::BIGINT AS feature_id, round(greatest(s[k + 1], 0)::FLOAT::DOUBLE, 4) AS value FROM (SELECT vec_id, unnest([0, 1]) AS k,
+@query("""SELECT vec_id AS datum_id, k::BIGINT AS feature_id, round(greatest(s[k + 1], 0)::FLOAT::DOUBLE, 4) + 0.0 AS value FROM (SELECT vec_id, unnest([0, 1]) AS k,
 [embedding[1]::DOUBLE + embedding[2]::DOUBLE + 0.5, embedding[1]::DOUBLE - embedding[2]::DOUBLE] AS s FROM embeddings)""")
 def t8_model(spark, sf):
     model = plans.transforms.mlp([([[1.0, 1.0], [1.0, -1.0]], [0.5, 0.0], "relu")])
     return _rounded(_long(vectors(spark, sf), [plans.ModelInference("v:0-1", model, 2)], sizes=V), 4)
 
 
-@query("""SELECT event_id AS datum_id, 0::BIGINT AS feature_id, round(greatest(-3.0, least(3.0, ln(p / (1 - p))))::FLOAT::DOUBLE, 5) AS value
+@query("""SELECT event_id AS datum_id, 0::BIGINT AS feature_id, round(greatest(-3.0, least(3.0, ln(p / (1 - p))))::FLOAT::DOUBLE, 5) + 0.0 AS value
 FROM (SELECT event_id, ((value + 1) / 1000)::FLOAT::DOUBLE AS p FROM events)""")
 def t9_logit(spark, sf):
     df = _t(spark, sf, "events").withColumn("p", (F.col("value") + 1) / 1000)
@@ -305,7 +305,7 @@ def a9_moments(spark, sf):
 
 
 @query("""WITH e AS (SELECT vec_id AS datum_id, i::BIGINT AS feature_id, embedding[i + 1]::FLOAT::DOUBLE AS x FROM (SELECT vec_id, embedding, unnest(range(0, 4)) AS i FROM embeddings)),
-m AS (SELECT feature_id, avg(x) AS a, var_samp(x) AS v FROM e GROUP BY 1) SELECT datum_id, feature_id, round((x - a) / v, 3) AS value FROM e JOIN m USING (feature_id)""")
+m AS (SELECT feature_id, avg(x) AS a, var_samp(x) AS v FROM e GROUP BY 1) SELECT datum_id, feature_id, round((x - a) / v, 3) + 0.0 AS value FROM e JOIN m USING (feature_id)""")
 def a10_standardize(spark, sf):
     s = plans.FeatureSession(vectors(spark, sf), [plans.Select("v:0-3")], sizes=V)
     return _rounded(stats.standardize(s.to_df(), stats.moments(s.to_df(), s.dim)), 3)
@@ -461,7 +461,7 @@ def e7_polynomial(spark, sf):
     return learn.polynomial(learn.ml_table(s.to_df(), s.dim)).select("datum_id", F.posexplode(vector_to_array("expanded")).alias("place", "v")).select("datum_id", "place", F.round("v", 6).alias("value"))
 
 
-@query("""SELECT vec_id AS datum_id, k::BIGINT AS feature_id, round(tanh(CASE k WHEN 0 THEN embedding[1]::DOUBLE + 2 * embedding[3]::DOUBLE ELSE embedding[2]::DOUBLE - embedding[3]::DOUBLE END)::FLOAT::DOUBLE, 4) AS value
+@query("""SELECT vec_id AS datum_id, k::BIGINT AS feature_id, round(tanh(CASE k WHEN 0 THEN embedding[1]::DOUBLE + 2 * embedding[3]::DOUBLE ELSE embedding[2]::DOUBLE - embedding[3]::DOUBLE END)::FLOAT::DOUBLE, 4) + 0.0 AS value
 FROM (SELECT vec_id, embedding, unnest([0, 1]) AS k FROM embeddings)""")
 def e15_activations(spark, sf):
     """A hidden layer's output as features."""
@@ -718,7 +718,7 @@ def t11_custom(spark, sf):
     return _long(df, [plans.transforms.transform("doubled", "p:p_size")])
 
 
-@query("SELECT vec_id AS datum_id, k::BIGINT AS feature_id, round((embedding[k + 1]::FLOAT::DOUBLE * [2, -3][k + 1])::FLOAT::DOUBLE, 5) AS value FROM embeddings, (SELECT unnest([0, 1]) AS k)")
+@query("SELECT vec_id AS datum_id, k::BIGINT AS feature_id, round((embedding[k + 1]::FLOAT::DOUBLE * [2, -3][k + 1])::FLOAT::DOUBLE, 5) + 0.0 AS value FROM embeddings, (SELECT unnest([0, 1]) AS k)")
 def t12_pipeline_model(spark, sf):
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import ElementwiseProduct
@@ -731,7 +731,7 @@ def t12_pipeline_model(spark, sf):
 
 
 @query("""WITH e AS (SELECT vec_id AS datum_id, i::BIGINT AS feature_id, embedding[i + 1]::FLOAT::DOUBLE AS x FROM (SELECT vec_id, embedding, unnest(range(0, 4)) AS i FROM embeddings)),
-m AS (SELECT feature_id, avg(x) AS a, stddev_samp(x) AS v FROM e GROUP BY 1) SELECT datum_id, feature_id, round((x - a) / v, 3) AS value FROM e JOIN m USING (feature_id)""")
+m AS (SELECT feature_id, avg(x) AS a, stddev_samp(x) AS v FROM e GROUP BY 1) SELECT datum_id, feature_id, round((x - a) / v, 3) + 0.0 AS value FROM e JOIN m USING (feature_id)""")
 def a10_standardize_std(spark, sf):
     s = plans.FeatureSession(vectors(spark, sf), [plans.Select("v:0-3")], sizes=V)
     return _rounded(stats.standardize(s.to_df(), stats.moments(s.to_df(), s.dim), "std"), 3)
