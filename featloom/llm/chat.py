@@ -75,7 +75,7 @@ class Piece:
 
 
 #: Turns of a conversation of which every whole prefix is rendered, and turns rendered before each later one.
-WHOLE, WINDOW = 256, 4
+WHOLE, WINDOW = 64, 4
 Template = Callable[[list[Turn]], str]
 
 
