@@ -1,4 +1,6 @@
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -39,3 +41,9 @@ def test_query_against_sql(spark, con, name):
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["datum_id", "feature_id", "value"] and df.count() > 0
+
+
+def test_entry_without_what_the_training_data_operators_need():
+    code = "import sys; sys.modules['public_tokenizers'] = None; import __spark_entry__ as e; assert 'flagship' in e.queries() and 'flagship' in e.oracle_sql(); assert not [q for q in e.queries() if q.startswith('op')]"
+    done = subprocess.run([sys.executable, "-W", "ignore", "-c", code], cwd=os.path.dirname(entry.__file__), capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
