@@ -224,11 +224,12 @@ def scores(docs: DataFrame, min_count: int = 2, partitions: int | None = None) -
     three passes over them read that shuffle."""
     spark = docs.sparkSession
     size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()[0]
-    p = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // PARTITION_BYTES))
+    dealt_to = int(spark.conf.get("spark.sql.shuffle.partitions"))  # as the joins on chunks want it, so that they shuffle no more
+    p = partitions or max(dealt_to, -(-int(size) // PARTITION_BYTES))
     bits = max(1, (p - 1).bit_length())
     width = min(62, max(bits + 8, 30, int(size).bit_length() + 2))  # of fingerprints: few n-grams share one by chance
     # the filter, which joins would add, makes the shuffle the same for all that read it, so that it is made once
-    held = chunks(docs).where("chunk is not null").repartition(p, "chunk")
+    held = chunks(docs).where("chunk is not null").repartition(dealt_to, "chunk")
 
     ask_kinds = "part int, chunk long, n_words long, data binary"
 
